@@ -17,8 +17,14 @@ def row_checks(df: DataFrame, violations: Mapping[str, Column]) -> DataFrame:
 
     A condition that is NULL does not count, as with a SQL CHECK constraint.
     """
-    counts = df.agg(*[F.count_if(condition).alias(name) for name, condition in violations.items()])
-    return counts.unpivot([], list(violations), NAME, COUNT)
+    counts = df.agg(
+        *[F.count_if(condition).alias(f"_{i}") for i, condition in enumerate(violations.values())]
+    )
+    rows = [
+        F.struct(F.lit(name).alias(NAME), F.col(f"_{i}").alias(COUNT))
+        for i, name in enumerate(violations)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def _named_count(groups: DataFrame, name: str) -> DataFrame:

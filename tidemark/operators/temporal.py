@@ -253,14 +253,18 @@ def _with_previous_end(dimension: DataFrame, id_column: str) -> DataFrame:
 
 
 def version_overlaps(dimension: DataFrame, id_column: str) -> DataFrame:
-    """Stretches of time in which an identifier has more than one valid version."""
+    """Stretches of time in which an identifier has more than one valid version.
+
+    ``overlap_to`` is NULL while the overlap is still open.
+    """
+    end = F.least("_end", "_previous_end")
     return (
         _with_previous_end(dimension, id_column)
         .filter(F.col("valid_from") < F.col("_previous_end"))
         .select(
             id_column,
             F.col("valid_from").alias("overlap_from"),
-            F.least("_end", "_previous_end").alias("overlap_to"),
+            F.when(end < F.lit(_OPEN_END).cast("timestamp_ntz"), end).alias("overlap_to"),
         )
     )
 
@@ -280,10 +284,8 @@ def ambiguous_events(
         overlaps = version_overlaps(lookup.dimension, lookup.id_column).withColumnRenamed(
             lookup.id_column, "_id"
         )
-        inside = (
-            (F.col(lookup.id_column) == F.col("_id"))
-            & (F.col(event_time) >= F.col("overlap_from"))
-            & (F.col(event_time) < F.col("overlap_to"))
+        inside = (F.col(lookup.id_column) == F.col("_id")) & covers(
+            F.col(event_time), F.col("overlap_from"), F.col("overlap_to")
         )
         found.append(
             events.select(event_id, lookup.id_column, event_time)

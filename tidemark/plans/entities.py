@@ -261,7 +261,7 @@ def with_correction_flag(checked_orders: DataFrame) -> DataFrame:
 
 
 ORDER = Entity(
-    "orders", "order_id",
+    "order", "order_id",
     ("order_id", "customer_id", "restaurant_id", "delivery_address", "order_status", "subtotal",
      "discount", "delivery_fee", "total_amount", "ordered_at", "source_updated_at"),
     ("order_id", "customer_id", "restaurant_id", "delivery_address", "order_date_key",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The document layout. Prices are text because producers send
 # numbers, numeric text, or the older field name.
@@ -20,3 +21,8 @@ def read_documents(
 ) -> DataFrame:
     """Explicit schema: an empty or partial batch keeps every column."""
     return spark.read.format(data_format).schema(schema).load(path)
+
+
+def parse_documents(rows: DataFrame, column: str, schema: str = MENU_DOCUMENT) -> DataFrame:
+    """Documents kept as JSON text in a column, with the same explicit schema."""
+    return rows.select(F.from_json(column, schema).alias("_document")).select("_document.*")

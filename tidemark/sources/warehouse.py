@@ -10,14 +10,19 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KEY_RANGE = "table_name string, last_key bigint"
+
 
 @dataclass(frozen=True)
 class Warehouse:
+    """Tables below ``root``; dimensions are cut into ``buckets`` by identifier."""
+
     spark: SparkSession
     root: str
+    buckets: int = 64
 
     # --- folders -----------------------------------------------------------
 
@@ -43,9 +48,35 @@ class Warehouse:
     def read(self, area: str, name: str, schema: str) -> DataFrame:
         """The table, or an empty frame of the same shape before the first write."""
         path = self.path(area, name)
+        empty = self.spark.createDataFrame([], schema)
         if not self.exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+            return empty
+        return self.spark.read.schema(schema).parquet(path).select(*empty.columns)
+
+    def bucket(self, identifier: str) -> Column:
+        return F.pmod(F.xxhash64(identifier), F.lit(self.buckets)).cast("int")
+
+    def reserve_keys(self, table: str, count: int) -> int:
+        """Reserve ``count`` surrogate keys and return the last one used before them.
+
+        A reservation is written before the rows that use it, so keys are never
+        handed out twice, even after a failed batch, and the table itself need
+        not be scanned for its maximum.
+        """
+        ranges = self.read("warehouse", "key_range", KEY_RANGE)
+        used = (
+            ranges.filter(F.col("table_name") == table)
+            .agg(F.coalesce(F.max("last_key"), F.lit(0)).alias("last"))
+            .first()["last"]
+        )
+        if count:
+            (
+                self.spark.createDataFrame([(table, used + count)], KEY_RANGE)
+                .coalesce(1)
+                .write.mode("append")
+                .parquet(self.path("warehouse", "key_range"))
+            )
+        return used
 
     # --- batches: staging and quarantine -----------------------------------
 
