@@ -44,4 +44,6 @@ def row_counts(checked: DataFrame) -> DataFrame:
 
 
 def quarantine_counts(checked: DataFrame) -> DataFrame:
-    return rejected_rows(checked).groupBy(REASON).agg(F.count(F.lit(1)).alias("rejected_rows"))
+    """Rows per reason. Valid rows form a group whose reason counts nothing."""
+    groups = checked.groupBy(REASON).agg(F.count(REASON).alias("rejected_rows"))
+    return groups.filter(F.col("rejected_rows") > 0)

@@ -19,9 +19,11 @@ from tidemark.functions.columns import UNKNOWN_KEY
 # by comparing each event with each version of the identifier.
 BUSY_VERSIONS = 256
 
-# Width of the time slices over which the sorting form splits one identifier.
-SLICE_SECONDS = 7 * 86400
-VERSION_SLICE_SECONDS = 90 * 86400
+# Width of the time slices over which the sorting forms split one identifier. An
+# identifier's rows of one slice share a task; sixteen years are 561,024 quarter
+# hours, which bounds the rows of the second, per-identifier window.
+SLICE_SECONDS = 900
+VERSION_SLICE_SECONDS = 86400
 
 
 @dataclass(frozen=True)
@@ -269,6 +271,37 @@ def version_overlaps(dimension: DataFrame, id_column: str) -> DataFrame:
     )
 
 
+def _inside_overlap(
+    events: DataFrame, event_id: str, event_time: str, lookup: VersionLookup
+) -> DataFrame:
+    """Ids of the events that fall into an overlap of their identifier's versions.
+
+    Events of identifiers without overlaps leave through a semi join. For the
+    rest, an event lies in an overlap exactly when the latest end among the
+    overlaps that began before it is still ahead, which one sorted pass finds.
+    """
+    overlaps = version_overlaps(lookup.dimension, lookup.id_column).select(
+        F.col(lookup.id_column).alias("_id"),
+        F.col("overlap_from").alias("_time"),
+        F.lit(0).alias("_is_event"),
+        F.coalesce("overlap_to", F.lit(_OPEN_END).cast("timestamp_ntz")).alias("_end"),
+    )
+    suspects = (
+        events.select(
+            F.col(lookup.id_column).alias("_id"), F.col(event_time).alias("_time"),
+            F.lit(1).alias("_is_event"), F.col(event_id),
+        )
+        .filter(F.col("_time").isNotNull())
+        .join(overlaps.select("_id"), "_id", "left_semi")
+    )
+    merged = suspects.unionByName(overlaps, allowMissingColumns=True)
+    return (
+        running_latest(merged, ["_id"], "_time", "_end", SLICE_SECONDS, order=["_is_event"])
+        .filter((F.col("_is_event") == 1) & (F.col("_running") > F.col("_time")))
+        .select(event_id)
+    )
+
+
 def ambiguous_events(
     events: DataFrame, event_id: str, event_time: str, versioned: Sequence[VersionLookup],
     coded: Sequence[CodeLookup] = (),
@@ -276,22 +309,15 @@ def ambiguous_events(
     """(event id, dimension) for every event that more than one dimension row matches.
 
     An event is ambiguous exactly when it falls into a stretch where versions
-    overlap, so only those stretches are joined. In a healthy warehouse there
-    are none and the events are not shuffled at all once Spark has seen that.
+    overlap, so only identifiers with such stretches are looked at. A healthy
+    warehouse has none, and no event is paired with a version to find that out.
     """
-    found = []
-    for lookup in versioned:
-        overlaps = version_overlaps(lookup.dimension, lookup.id_column).withColumnRenamed(
-            lookup.id_column, "_id"
-        )
-        inside = (F.col(lookup.id_column) == F.col("_id")) & covers(
-            F.col(event_time), F.col("overlap_from"), F.col("overlap_to")
-        )
-        found.append(
-            events.select(event_id, lookup.id_column, event_time)
-            .join(overlaps, inside, "left_semi")
-            .select(event_id, F.lit(lookup.key_column).alias("dimension"))
+    found = [
+        _inside_overlap(events, event_id, event_time, lookup).select(
+            event_id, F.lit(lookup.key_column).alias("dimension")
         )
+        for lookup in versioned
+    ]
     for lookup in coded:
         repeated = lookup.pairs().groupBy("_code").count().filter(F.col("count") > 1)
         found.append(

@@ -16,7 +16,7 @@ from tidemark.functions import columns as C
 from tidemark.functions import predicates as P
 from tidemark.operators.dedup import latest_per_key
 from tidemark.operators.lookup import distinct_keys, left_lookup
-from tidemark.operators.rules import Rule, assign_reason, rejected_rows, valid_rows
+from tidemark.operators.rules import REASON, Rule, assign_reason, rejected_rows
 
 # Accepted codes.
 ACTIVITY_STATES = ("ACTIVE", "INACTIVE")
@@ -48,8 +48,11 @@ class Outcome:
 
 def accept(checked: DataFrame, entity: Entity) -> DataFrame:
     """Valid rows, the newest per natural key, as the staging contract wants them."""
-    narrow = valid_rows(checked).select(*entity.carried)
-    single = latest_per_key(narrow, [entity.key], "source_updated_at", entity.carried)
+    narrow = checked.select(*entity.carried, REASON)
+    single = latest_per_key(
+        narrow, [entity.key], "source_updated_at", entity.carried,
+        eligible=F.col(REASON).isNull(),
+    )
     return entity.finish(single).select(*entity.columns)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import timedelta
 from functools import reduce
 from uuid import uuid4
@@ -52,10 +52,24 @@ def _amounts_as_doubles(df: DataFrame) -> DataFrame:
 
 def _checked(spark: SparkSession, d: str, name: str) -> DataFrame:
     """Judged rows of one entity."""
-    source = {p: table(spark, d, f"src_{jobs.SOURCE_OF[p]}") for p in ("restaurant", "order", "menu_item")}
-    lookups = {"restaurants": source["restaurant"], "orders": source["order"],
-               "menu_items": source["menu_item"]}
-    return jobs.JUDGES[name](table(spark, d, f"src_{jobs.SOURCE_OF[name]}"), lookups)
+    sources = SourceTables(spark, d)
+    return jobs.JUDGES[name](sources[jobs.SOURCE_OF[name]], sources)
+
+
+class SourceTables(Mapping):
+    """The source tables by name, built when asked for."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self._spark, self._dir = spark, d
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return table(self._spark, self._dir, f"src_{name}")
+
+    def __iter__(self):
+        return iter(jobs.SOURCE_OF.values())
+
+    def __len__(self) -> int:
+        return len(jobs.SOURCE_OF)
 
 
 def _target(name: str):

@@ -13,6 +13,7 @@ def create_session(app_name: str = "tidemark", **settings: str) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     builder = SparkSession.builder.appName(app_name)
     for name, value in {**defaults, **settings}.items():
