@@ -151,6 +151,22 @@ def test_shared_email_stops_the_batch(spark, warehouse, book):
     assert book.resume_from("customer", "mysql_watermark_to") == datetime(1900, 1, 1)
 
 
+def test_more_closes_than_inserts_stop_the_batch(spark, warehouse, book):
+    src = sources(spark)
+    feed = jobs.as_feed("restaurant", src["restaurants"])
+    jobs.run_entity(warehouse, book, "restaurant", feed, src)
+    stored = jobs.read_dimension(warehouse, "restaurant")
+    newer = stored.withColumns({
+        "restaurant_key": F.col("restaurant_key") + 100, "hash_diff": F.lit("f" * 64),
+        "source_updated_at": F.col("source_updated_at") + F.expr("INTERVAL 90 DAY")})
+    rows = spark.createDataFrame(stored.unionByName(newer).collect(), stored.schema)
+    warehouse.replace_partitions(rows, "dim_restaurant", "bucket")
+    moved = table(spark, "restaurants", ("1", "R1", "thai", "elsewhere", None, "active", "2026-01-01", stamp(20)))
+    with pytest.raises(RuntimeError, match="closes more"):
+        jobs.run_entity(warehouse, book, "restaurant", jobs.as_feed("restaurant", moved), src)
+    assert jobs.read_dimension(warehouse, "restaurant").filter("is_current").count() == 2
+
+
 def test_overlapping_versions_stop_the_fact(spark, warehouse, book):
     src = sources(spark)
     jobs.run_entity(warehouse, book, "customer", jobs.as_feed("customer", src["customers"]), src)
@@ -206,3 +222,16 @@ def test_hourly_sales(frame):
     out = {(r.local_hour, r.menu_item_id): (r.order_lines, r.quantity, float(r.revenue))
            for r in hourly_item_sales(lines, items).collect()}
     assert out == {(11, "M1"): (2, 3, 30.0), (3, "UNKNOWN"): (1, 1, 5.0)}
+
+
+def test_small_batches_narrow_their_lookups(spark):
+    src = sources(spark)
+    one = src["payments"].filter("payment_id = 1")
+    small = jobs.narrowed(src, "payment", one, 1)
+    assert [r.order_id for r in small["orders"].collect()] == [1]
+    assert jobs.narrowed(src, "payment", one, jobs.SMALL_BATCH_ROWS + 1) is src
+    items = jobs.narrowed(src, "order_item", src["order_items"], 2)
+    assert {r._id for r in items["menu_items"].collect()} == {"M1"}
+    judged = jobs.JUDGES["order_item"](src["order_items"], src).collect()
+    assert sorted(map(str, judged)) == sorted(
+        map(str, jobs.JUDGES["order_item"](src["order_items"], items).collect()))

@@ -37,6 +37,10 @@ def safe_cast(value: Column | str, data_type: str) -> Column:
     return _column(value).try_cast(data_type)
 
 
+def to_long(value: Column | str) -> Column:
+    return safe_cast(value, "bigint")
+
+
 def utc_from_text(value: Column | str) -> Column:
     """Read timestamp text as a zone-less UTC timestamp, NULL if unreadable.
 

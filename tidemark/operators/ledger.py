@@ -97,7 +97,7 @@ class Ledger:
     def resume_from(self, pipeline: str, column: str) -> datetime:
         return last_watermark(self.batches(), pipeline, column)
 
-    def _append(self, row: dict) -> None:
+    def record(self, row: dict) -> None:
         spark = self.warehouse.spark
         fields = [part.strip().split(" ")[0] for part in LEDGER.split(",")]
         (
@@ -122,7 +122,7 @@ class Ledger:
             "revision": 1,
             **watermarks,
         }
-        self._append(row)
+        self.record(row)
         return row
 
     def complete(self, batch: dict, loaded_rows: int) -> dict:
@@ -134,5 +134,5 @@ class Ledger:
 
     def _close(self, batch: dict, **changes) -> dict:
         row = {**batch, **changes, "completed_at": self.now(), "revision": batch["revision"] + 1}
-        self._append(row)
+        self.record(row)
         return row

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import UNKNOWN_KEY
+from tidemark.operators.lookup import splittable_join
 
 # An identifier with more versions than this is looked up by sorting instead of
 # by comparing each event with each version of the identifier.
@@ -180,9 +181,8 @@ def as_of_lookup(
     if not busy:
         return _interval_join(events, lookup, event_time)
     busy_ids = busy_identifiers(lookup, limit)
-    is_busy = F.col(lookup.id_column) == F.col("_busy_id")
-    ordinary = events.join(busy_ids, is_busy, "left_anti")
-    crowded = events.join(busy_ids, is_busy, "left_semi")
+    ordinary = splittable_join(events, busy_ids, lookup.id_column, "_busy_id", "left_anti")
+    crowded = splittable_join(events, busy_ids, lookup.id_column, "_busy_id", "left_semi")
     return _interval_join(ordinary, lookup, event_time).unionByName(
         as_of_by_sorting(crowded, lookup, event_time)
     )

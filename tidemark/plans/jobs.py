@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.ledger import BOOTSTRAP_BATCH, SUCCEEDED, Ledger
+from tidemark.operators.lookup import rows_of_keys
 from tidemark.operators.rules import rejected_rows, row_counts
 from tidemark.operators.scd2 import (
     scd2_closes,
@@ -102,6 +103,31 @@ JUDGES: dict[str, Callable[[DataFrame, Sources], DataFrame]] = {
     "delivery": lambda rows, src: E.check_deliveries(rows, src["orders"]),
 }
 
+# (source table, its key, the key's name in the changed rows, cleaning of both).
+LOOKUPS = {
+    "menu_item": [("restaurants", "restaurant_id", "restaurantId", C.to_long)],
+    "order_item": [("orders", "order_id", "order_id", C.to_long),
+                   ("menu_items", "_id", "menu_item_id", C.trimmed)],
+    "payment": [("orders", "order_id", "order_id", C.to_long)],
+    "delivery": [("orders", "order_id", "order_id", C.to_long)],
+}
+# Up to this many changed rows their keys are broadcast to narrow the lookups.
+SMALL_BATCH_ROWS = 1_000_000
+
+
+def narrowed(sources: Sources, pipeline: str, changes: DataFrame, changed_rows: int) -> Sources:
+    """The sources with each lookup cut to what a small batch refers to.
+
+    A large batch, such as a first load, reads its lookups in full.
+    """
+    lookups = LOOKUPS.get(pipeline, [])
+    if not lookups or changed_rows > SMALL_BATCH_ROWS:
+        return sources
+    return {
+        name: rows_of_keys(sources[name], clean(key), changes, clean(reference))
+        for name, key, reference, clean in lookups
+    }
+
 
 def as_feed(pipeline: str, rows: DataFrame) -> Feed:
     if pipeline == "menu_item":
@@ -151,8 +177,9 @@ def merge_dimension(
 ) -> int:
     """Version the staged batch into the dimension; returns the versions inserted.
 
-    Only the identifier buckets that change are rewritten. A bucket holds all
-    versions of its identifiers, so each replacement is complete in itself.
+    Only the buckets of arriving identifiers are read, and those that change
+    rewritten. A bucket holds all versions of its identifiers, so each
+    replacement is complete in itself.
     """
     name, key = dimension.entity.name, dimension.identifier
     staged = _staged_batch(warehouse, name, batch_id)
@@ -162,6 +189,8 @@ def merge_dimension(
         if not conflicts.isEmpty():
             raise RuntimeError(f"{name} batch repeats a value that must be unique")
 
+    arriving = staged.select(warehouse.bucket(key).alias("bucket")).distinct().collect()
+    stored = stored.filter(F.col("bucket").isin([row.bucket for row in arriving]))
     inserts = cut_lineage(
         scd2_inserts(stored, staged, key).withColumn("bucket", warehouse.bucket(key)),
         warehouse.checkpoint_fallback(),
@@ -269,10 +298,11 @@ def run_entity(
     """Load one pipeline's next window. Returns the closing ledger row."""
     lower = ledger.resume_from(pipeline, f"{feed.ledger_prefix}_to")
     upper = feed.upper()
+    changes = feed.window(lower, upper, lookback)
+    if pipeline in LOOKUPS:
+        sources = narrowed(sources, pipeline, changes, changes.count())
     # The judged rows feed the counts, the quarantine and the staging write.
-    checked = JUDGES[pipeline](feed.window(lower, upper, lookback), sources).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    checked = JUDGES[pipeline](changes, sources).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = row_counts(checked).first()
         batch = ledger.start(
@@ -309,7 +339,7 @@ def _load(
 def bootstrap(warehouse: Warehouse, ledger: Ledger) -> None:
     """Seed the bootstrap batch and the unknown members; safe to run again."""
     if ledger.batches().filter(F.col("batch_id") == BOOTSTRAP_BATCH).isEmpty():
-        ledger._append({
+        ledger.record({
             "batch_id": BOOTSTRAP_BATCH, "pipeline_name": "bootstrap", "started_at": ledger.now(),
             "completed_at": ledger.now(), "batch_status": SUCCEEDED, "input_row_count": 0,
             "loaded_row_count": 0, "rejected_row_count": 0, "revision": 1,

@@ -19,7 +19,7 @@ from tidemark.plans import jobs, reports
 from tidemark.plans import warehouse_checks as W
 from tidemark.plans.bridge import table
 from tidemark.plans.facts import FACTS, resolve_fact
-from tidemark.session import shared_folder
+from tidemark.session import cut_lineage, shared_folder
 from tidemark.sources import windows
 from tidemark.sources.documents import parse_documents
 from tidemark.sources.warehouse import Warehouse, purge_rows, stage_projection
@@ -518,7 +518,7 @@ def scd2_apply(spark, d):
 def scd2_replay(spark, d):
     """Applying the same batch twice leaves what applying it once leaves."""
     start, later = _customer_batches(spark, d)
-    once = scd2.scd2_apply(start, later, "customer_id")
+    once = cut_lineage(scd2.scd2_apply(start, later, "customer_id"), _scratch(spark))
     return scd2.scd2_apply(once, later, "customer_id").select(_VERSION)
 
 

@@ -14,6 +14,8 @@ def create_session(app_name: str = "tidemark", **settings: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Checkpointed frames are intermediate: their files go when the frame does.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.appName(app_name)
     for name, value in {**defaults, **settings}.items():
