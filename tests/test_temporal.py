@@ -79,11 +79,16 @@ def test_ambiguity_matches_its_definition(frame, spans, moments):
     versions = [(c, n, day(f), day(None if w is None else f + w)) for n, (c, f, w) in enumerate(spans)]
     events = [(n, c, day(d)) for n, (c, d) in enumerate(moments)]
     lookup = T.VersionLookup(frame(VERSIONS, *versions), "cid", "ckey")
-    flagged = T.ambiguous_events(frame(EVENTS, *events), "eid", "at", [lookup])
     expected = {e for e, m in brute_force(events, versions).items() if len(m) > 1}
-    assert {r.eid for r in flagged.collect()} == expected
-    overlapping = {r.cid for r in T.version_overlaps(lookup.dimension, "cid").collect()}
-    assert {events[e][1] for e in expected} <= overlapping
+    for crowded in (None, {"ckey"}):
+        flagged = T.ambiguous_events(
+            frame(EVENTS, *events), "eid", "at", [lookup], crowded=crowded)
+        assert {r.eid for r in flagged.collect()} == expected
+    spans_found = [
+        sorted(map(tuple, T.version_overlaps(lookup.dimension, "cid", busy).collect()), key=str)
+        for busy in (True, False)]
+    assert spans_found[0] == spans_found[1]
+    assert {events[e][1] for e in expected} <= {span[0] for span in spans_found[0]}
 
 
 def test_repeated_codes_are_ambiguous(frame):

@@ -237,7 +237,7 @@ def resolve_keys(
 _OPEN_END = "9999-12-31 00:00:00"
 
 
-def _with_previous_end(dimension: DataFrame, id_column: str) -> DataFrame:
+def _with_previous_end(dimension: DataFrame, id_column: str, busy: bool) -> DataFrame:
     """Versions with the latest end among the identifier's earlier versions.
 
     Several versions may start together; ordering by the end as well keeps the
@@ -248,20 +248,28 @@ def _with_previous_end(dimension: DataFrame, id_column: str) -> DataFrame:
         "valid_from",
         F.coalesce("valid_to", F.lit(_OPEN_END).cast("timestamp_ntz")).alias("_end"),
     ).filter(F.col("_end") > F.col("valid_from"))
-    return running_latest(
-        ended, [id_column], "valid_from", "_end", VERSION_SLICE_SECONDS, order=["_end"],
-        inclusive=False,
-    ).withColumnRenamed("_running", "_previous_end")
+    if busy:
+        return running_latest(
+            ended, [id_column], "valid_from", "_end", VERSION_SLICE_SECONDS, order=["_end"],
+            inclusive=False,
+        ).withColumnRenamed("_running", "_previous_end")
+    earlier = (
+        Window.partitionBy(id_column)
+        .orderBy("valid_from", "_end")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return ended.withColumn("_previous_end", F.max("_end").over(earlier))
 
 
-def version_overlaps(dimension: DataFrame, id_column: str) -> DataFrame:
+def version_overlaps(dimension: DataFrame, id_column: str, busy: bool = True) -> DataFrame:
     """Stretches of time in which an identifier has more than one valid version.
 
-    ``overlap_to`` is NULL while the overlap is still open.
+    ``overlap_to`` is NULL while the overlap is still open. ``busy=False`` is the
+    cheaper form for a dimension known to have few versions per identifier.
     """
     end = F.least("_end", "_previous_end")
     return (
-        _with_previous_end(dimension, id_column)
+        _with_previous_end(dimension, id_column, busy)
         .filter(F.col("valid_from") < F.col("_previous_end"))
         .select(
             id_column,
@@ -272,29 +280,38 @@ def version_overlaps(dimension: DataFrame, id_column: str) -> DataFrame:
 
 
 def _inside_overlap(
-    events: DataFrame, event_id: str, event_time: str, lookup: VersionLookup
+    events: DataFrame, event_id: str, event_time: str, lookup: VersionLookup, busy: bool
 ) -> DataFrame:
     """Ids of the events that fall into an overlap of their identifier's versions.
 
-    Events of identifiers without overlaps leave through a semi join. For the
-    rest, an event lies in an overlap exactly when the latest end among the
-    overlaps that began before it is still ahead, which one sorted pass finds.
+    With few versions per identifier a semi join on the interval finds them. For
+    busy dimensions, an event lies in an overlap exactly when the latest end
+    among the overlaps that began before it is still ahead: one sorted pass.
     """
-    overlaps = version_overlaps(lookup.dimension, lookup.id_column).select(
-        F.col(lookup.id_column).alias("_id"),
-        F.col("overlap_from").alias("_time"),
-        F.lit(0).alias("_is_event"),
+    overlaps = version_overlaps(lookup.dimension, lookup.id_column, busy).withColumnRenamed(
+        lookup.id_column, "_id"
+    )
+    timed = events.select(
+        F.col(lookup.id_column).alias("_event_id"), F.col(event_time).alias("_time"), event_id
+    )
+    if not busy:
+        inside = (F.col("_event_id") == F.col("_id")) & covers(
+            F.col("_time"), F.col("overlap_from"), F.col("overlap_to")
+        )
+        return timed.join(overlaps, inside, "left_semi").select(event_id)
+    marks = overlaps.select(
+        "_id", F.col("overlap_from").alias("_time"), F.lit(0).alias("_is_event"),
         F.coalesce("overlap_to", F.lit(_OPEN_END).cast("timestamp_ntz")).alias("_end"),
     )
     suspects = (
-        events.select(
-            F.col(lookup.id_column).alias("_id"), F.col(event_time).alias("_time"),
-            F.lit(1).alias("_is_event"), F.col(event_id),
+        splittable_join(
+            timed.filter(F.col("_time").isNotNull()), marks.select("_id").distinct(),
+            "_event_id", "_id", "left_semi",
         )
-        .filter(F.col("_time").isNotNull())
-        .join(overlaps.select("_id"), "_id", "left_semi")
+        .withColumnRenamed("_event_id", "_id")
+        .withColumn("_is_event", F.lit(1))
     )
-    merged = suspects.unionByName(overlaps, allowMissingColumns=True)
+    merged = suspects.unionByName(marks, allowMissingColumns=True)
     return (
         running_latest(merged, ["_id"], "_time", "_end", SLICE_SECONDS, order=["_is_event"])
         .filter((F.col("_is_event") == 1) & (F.col("_running") > F.col("_time")))
@@ -304,18 +321,21 @@ def _inside_overlap(
 
 def ambiguous_events(
     events: DataFrame, event_id: str, event_time: str, versioned: Sequence[VersionLookup],
-    coded: Sequence[CodeLookup] = (),
+    coded: Sequence[CodeLookup] = (), crowded: set[str] | None = None,
 ) -> DataFrame:
     """(event id, dimension) for every event that more than one dimension row matches.
 
     An event is ambiguous exactly when it falls into a stretch where versions
-    overlap, so only identifiers with such stretches are looked at. A healthy
-    warehouse has none, and no event is paired with a version to find that out.
+    overlap, so only such stretches are looked at. A healthy warehouse has none,
+    and no event is paired with a version to find that out. ``crowded`` is as in
+    ``resolve_keys``.
     """
+    if crowded is None:
+        crowded = crowded_dimensions(versioned) if versioned else set()
     found = [
-        _inside_overlap(events, event_id, event_time, lookup).select(
-            event_id, F.lit(lookup.key_column).alias("dimension")
-        )
+        _inside_overlap(
+            events, event_id, event_time, lookup, lookup.key_column in crowded
+        ).select(event_id, F.lit(lookup.key_column).alias("dimension"))
         for lookup in versioned
     ]
     for lookup in coded:

@@ -12,6 +12,7 @@ timestamp literal, ``ARR(...)`` an array.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -437,8 +438,9 @@ def spark_text(text: str) -> str:
     return text.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a role over the tables in ``sf_dir``."""
+    """A base table or a role over the tables in ``sf_dir``; the plan is kept, not the data."""
     if name not in ROLES:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     parts = {part: table(spark, sf_dir, part) for part in referenced(ROLES[name])}

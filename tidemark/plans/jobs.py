@@ -231,14 +231,17 @@ def merge_fact(warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datet
     dates, methods = dim_date(warehouse.spark), dim_payment_method(warehouse.spark)
     versioned = version_lookups(fact, dimensions)
     codes = code_lookups(fact, dates, methods)
-    ambiguous = ambiguous_events(staged, fact.identifier, fact.event_time, versioned, codes)
+    crowded = crowded_dimensions(versioned)
+    ambiguous = ambiguous_events(
+        staged, fact.identifier, fact.event_time, versioned, codes, crowded
+    )
     if not ambiguous.isEmpty():
         raise RuntimeError(f"{pipeline} batch matches several versions of a dimension row")
 
     fallback = warehouse.checkpoint_fallback()
-    resolved = resolve_fact(
-        staged, fact, dimensions, dates, methods, crowded_dimensions(versioned)
-    ).withColumn("event_month", F.floor(F.col(fact.partition_source) / 100).cast("int"))
+    resolved = resolve_fact(staged, fact, dimensions, dates, methods, crowded).withColumn(
+        "event_month", F.floor(F.col(fact.partition_source) / 100).cast("int")
+    )
     resolved = cut_lineage(resolved, fallback)
     stored = read_fact(warehouse, pipeline)
     hits = cut_lineage(
