@@ -68,6 +68,20 @@ def test_forms_agree_on_a_hot_identifier(frame):
         assert {r.eid: r.ckey for r in resolved.collect()} == expected
 
 
+def test_daylight_saving_of_the_session_does_not_matter(spark, frame):
+    versions = frame(VERSIONS, (1, 10, "2026-03-08 02:30:00", "2026-03-08 03:05:00"),
+                     (1, 11, "2026-03-08 03:05:00", None))
+    events = frame(EVENTS, (1, 1, "2026-03-08 02:40:00"), (2, 1, "2026-03-08 03:04:00"),
+                   (3, 1, "2026-03-08 03:05:00"), (4, 1, "2026-03-08 02:29:59"))
+    lookup = T.VersionLookup(versions, "cid", "ckey")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for resolved in (T.as_of_by_sorting(events, lookup, "at"), T.as_of_lookup(events, lookup, "at")):
+            assert {r.eid: r.ckey for r in resolved.collect()} == {1: 10, 2: 10, 3: 11, 4: 0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 intervals = st.lists(
     st.tuples(st.integers(1, 3), st.integers(0, 12), st.one_of(st.none(), st.integers(1, 6))),
     min_size=1, max_size=10)

@@ -81,6 +81,12 @@ def _interval_join(events: DataFrame, lookup: VersionLookup, event_time: str) ->
     )
 
 
+def _clock_seconds(moment: Column) -> Column:
+    """Seconds of a zone-less timestamp, untouched by the session's daylight saving."""
+    days = F.unix_date(moment.cast("date")).cast("long")
+    return days * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+
+
 def running_latest(df: DataFrame, keys: Sequence[str], time: str, value: str, slice_seconds: int,
                    order: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """Add ``_running``: the largest ``value`` of the key's rows up to each row.
@@ -89,9 +95,7 @@ def running_latest(df: DataFrame, keys: Sequence[str], time: str, value: str, sl
     runs per (key, time slice); what earlier slices contribute is a second,
     small window over one pre-aggregated row per (key, slice).
     """
-    sliced = df.withColumn(
-        "_slice", F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / slice_seconds)
-    )
+    sliced = df.withColumn("_slice", F.floor(_clock_seconds(F.col(time)) / slice_seconds))
     cells = [*keys, "_slice"]
     frame_end = Window.currentRow if inclusive else -1
     within = (
