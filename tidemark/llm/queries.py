@@ -19,8 +19,15 @@ def op2_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contamination_report
+
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
+    "op5_decontaminate": op5_decontaminate,
 }
 
 
