@@ -19,6 +19,13 @@ def op2_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.unigram_pieces import encode_pieces
+
+    docs = table(spark, sf_dir, "documents")
+    return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontaminate import contamination_report
 
@@ -27,6 +34,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
+    "op3_unigram_pieces": op3_unigram_pieces,
     "op5_decontaminate": op5_decontaminate,
 }
 
