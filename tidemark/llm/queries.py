@@ -32,10 +32,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.backoff_automaton import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_unigram_pieces": op3_unigram_pieces,
     "op5_decontaminate": op5_decontaminate,
+    "op6_backoff_automaton": op6_backoff_automaton,
 }
 
 
