@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.llm.backoff_automaton import score_documents
 
-PRIOR = 20.0
+PRIOR = 200.0
 
 
 def tokens(text):

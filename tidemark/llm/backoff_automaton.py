@@ -82,7 +82,7 @@ class BackoffAutomaton:
         return step
 
 
-def score_documents(docs: DataFrame, *, folds: int = 5, held_out_fold: int = 1, prior: float = 20.0) -> DataFrame:
+def score_documents(docs: DataFrame, *, folds: int = 5, held_out_fold: int = 1, prior: float = 200.0) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text), learning from those outside the held-out fold."""
     spark = docs.sparkSession
     folder = new_folder(spark, "automaton")

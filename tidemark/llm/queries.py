@@ -38,11 +38,18 @@ def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.kneser_ney import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
+
+
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_unigram_pieces": op3_unigram_pieces,
     "op5_decontaminate": op5_decontaminate,
     "op6_backoff_automaton": op6_backoff_automaton,
+    "op8_kneser_ney": op8_kneser_ney,
 }
 
 
