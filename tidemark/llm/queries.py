@@ -26,6 +26,12 @@ def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontaminate import contamination_report
 
@@ -47,6 +53,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_unigram_pieces": op3_unigram_pieces,
+    "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_backoff_automaton": op6_backoff_automaton,
     "op8_kneser_ney": op8_kneser_ney,
