@@ -44,6 +44,12 @@ def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.kneser_ney import classify_quality
 
@@ -56,9 +62,24 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_backoff_automaton": op6_backoff_automaton,
+    "op7_warc_segments": op7_warc_segments,
     "op8_kneser_ney": op8_kneser_ney,
 }
 
 
+#: DuckDB SQL of the queries that SQL can express.
+STATEMENTS = {
+    "op7_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        t AS (SELECT payload_digest, max(page_id) AS target FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN target IS NOT NULL AND page_id IS DISTINCT FROM target THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM target THEN target END AS refers_to,
+               TRUE AS complete
+        FROM d LEFT JOIN t USING (payload_digest)""",
+}
+
+
 def statements() -> dict[str, str]:
-    return {}
+    return dict(STATEMENTS)
