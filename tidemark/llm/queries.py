@@ -56,6 +56,12 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
+def op9_recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_blocks import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_unigram_pieces": op3_unigram_pieces,
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_backoff_automaton": op6_backoff_automaton,
     "op7_warc_segments": op7_warc_segments,
     "op8_kneser_ney": op8_kneser_ney,
+    "op9_recurrent_blocks": op9_recurrent_blocks,
 }
 
 
