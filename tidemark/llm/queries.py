@@ -62,6 +62,13 @@ def op9_recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.learned_partitions import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_unigram_pieces": op3_unigram_pieces,
@@ -71,6 +78,7 @@ QUERIES = {
     "op7_warc_segments": op7_warc_segments,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_recurrent_blocks": op9_recurrent_blocks,
+    "op10_learned_partitions": op10_learned_partitions,
 }
 
 
