@@ -9,7 +9,8 @@ from tidemark.llm.queries import tokenizer_path
 
 TOKENIZER = tokenizer_path("byte_bpe_50k.json")
 ODD = ["", None, " ", "a b", " a  b ", "x\n\ty  z  w 　 q", "it's we'll", "naïve 日本 " * 40,
-       "<|endoftext|> in <|endoftext|>", "a\x1c b\x85 c", "#" * 5000, "word " * 3000, "tail   "]
+       "<|endoftext|> in <|endoftext|>", "a\x1c b\x85 c", "#" * 5000, "word " * 3000, "tail   ",
+       "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(1, 0x250))), "\n \n\t a\xa0 \xa0b\x85\x1d c ¼½2 a'sx '' 'rex"]
 
 
 def expected(pairs):
@@ -25,7 +26,7 @@ def expected(pairs):
 
 def test_equals_the_library(spark, documents, prose):
     texts = ODD + [prose(i, 5 + 40 * i) for i in range(40)]
-    ids = [(7 * i) % len(texts) - 5 for i in range(len(texts))]
+    ids = [(11 * i) % len(texts) - 5 for i in range(len(texts))]
     docs = documents(*texts, ids=ids).repartition(3)
     got = sorted(tuple(r) for r in token_files(docs, TOKENIZER, end_id=2, length=16, batch_sequences=4).collect())
     assert got == expected(sorted(zip(ids, texts), key=lambda p: p[0]))

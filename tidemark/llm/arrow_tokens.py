@@ -14,8 +14,11 @@ columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,46 +39,87 @@ from tidemark.llm.common import (
 
 #: Longer stretches without a space are encoded each time.
 KEPT_CHARS = 64
+TEXTS_AT_ONCE = 128
+LAST_LATIN = "\u024f"
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\x09-\x0d \x85\xa0"
+# The byte-level pre-tokenizer's pattern, a fixed value, with the classes as they are up to LAST_LATIN.
+LATIN_PATTERN = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
+    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+SPACED_WORD = re.compile(f" [{_LETTER}]+")
+WORDS_AT_ONCE = 256
 MANIFEST = "shard int, tokens_file string, docs_file string, n_docs bigint, n_tokens bigint"
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
 
-class ChunkEncoder:
-    """Encodes texts by a ``tokenizers`` file, each distinct chunk once.
+class PieceCache:
+    """Encodes texts by a byte-level ``tokenizers`` file, each distinct piece of text once.
 
-    A byte-level pre-tokenizer always starts a new token at a single space between two
-    non-space characters, so the chunks between such spaces are encoded apart with the same ids.
+    Latin texts are cut by the pre-tokenizer's own pattern; others between two non-space
+    characters at a single space, where it always starts a new token; a text with an added token's
+    string goes to the library whole. All cuts leave the ids as they are. A worker keeps its cache
+    from task to task.
     """
 
-    def __init__(self, path: str, dtype, kept: int):
+    _of_worker: dict[tuple, PieceCache] = {}
+
+    def __init__(self, path: str, end_id: int, kept: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.kept, self.ids = dtype, kept, {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
+        self.end = np.array([end_id], self.dtype).tobytes()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.kept, self.ids = kept, {}
+
+    @classmethod
+    def of_worker(cls, *arguments) -> PieceCache:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        if arguments not in cls._of_worker:
+            cls._of_worker[arguments] = cls(*arguments)
+        return cls._of_worker[arguments]
+
+    def cut(self, text: str) -> list[str]:
+        if self.added.search(text):
+            return [text]
+        if text.isascii() or max(text) <= LAST_LATIN:
+            return LATIN_PATTERN.findall(text)
         parts = SPLIT_BETWEEN_WORDS.split(text) if SPACES_MEET.search(text) else text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in found), self.dtype).tobytes()
+        ends = (np.cumsum([len(e) for e in found], dtype=int) * self.dtype.itemsize).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; words with their space are joined, for the pre-tokenizer parts them again."""
+        words = list(filter(SPACED_WORD.fullmatch, pieces))
+        joined = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch(list(map("".join, joined)), add_special_tokens=False)
+        for group, encoded in zip(joined, found):
+            flat, size = np.array(encoded.ids, self.dtype).tobytes(), self.dtype.itemsize
+            ends = np.searchsorted(encoded.word_ids, np.arange(len(group)), "right") * size
+            self.ids.update(zip(group, [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+        rest = [p for p in pieces if p not in self.ids]
+        self.ids.update(zip(rest, self._encode(rest)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Bytes of each text's ids."""
-        if len(self.ids) > self.kept:
-            self.ids = {}
-        for text in texts:
-            chunks = self.chunks(text)
-            try:
-                yield b"".join(map(self.ids.__getitem__, chunks))
-                continue
-            except KeyError:
-                missing = list({c for c in chunks if c not in self.ids})
-            new = dict(zip(missing, self._encode(missing)))
-            self.ids.update((c, b) for c, b in new.items() if len(c) <= KEPT_CHARS)
-            yield b"".join([self.ids[c] if c in self.ids else new[c] for c in chunks])
+        """Bytes of each text's ids and the end id."""
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            if len(self.ids) > self.kept:
+                self.ids = {}
+            pieces = list(map(self.cut, texts[at:at + TEXTS_AT_ONCE]))
+            new = list(set().union(*pieces).difference(self.ids))
+            self._learn(new)
+            for of_text in pieces:
+                yield b"".join(map(self.ids.__getitem__, of_text)) + self.end
+            for piece in new:
+                if len(piece) > KEPT_CHARS:
+                    del self.ids[piece]
 
 
 class ShardWriter:
@@ -180,7 +224,7 @@ class TokenShard:
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, *, end_id: int, length: int = 1024,
-    batch_sequences: int = 64, kept_chunks: int = 300_000,
+    batch_sequences: int = 64, kept_pieces: int = 1_000_000,
 ) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards below ``folder``; the manifest of the shards.
 
@@ -188,18 +232,13 @@ def write_token_files(
     writes its range. ``tokenizer`` is the path of a ``tokenizers`` file on every executor.
     """
     def write(batches):
-        from tokenizers import Tokenizer
-
-        size = Tokenizer.from_file(tokenizer).get_vocab_size()
-        dtype = np.dtype("<u2" if max(size, end_id + 1) <= 65_536 else "<u4")
-        encoder, end, writer = None, np.array([end_id], dtype).tobytes(), None
+        encoder, writer = PieceCache.of_worker(tokenizer, end_id, kept_pieces), None
         shard = TaskContext.get().partitionId()
         for batch in batches:
             if writer is None and batch.num_rows:
-                encoder = ChunkEncoder(tokenizer, dtype, kept_chunks)
-                writer = ShardWriter(folder, shard, dtype, length, batch_sequences)
+                writer = ShardWriter(folder, shard, encoder.dtype, length, batch_sequences)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch, "text"))):
-                writer.add(doc_id, ids + end)
+                writer.add(doc_id, ids)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({
