@@ -13,6 +13,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.link_trust import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.arrow_tokens import token_files
 
@@ -70,6 +76,7 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_link_trust": op1_link_trust,
     "op2_arrow_tokens": op2_arrow_tokens,
     "op3_unigram_pieces": op3_unigram_pieces,
     "op4_simhash": op4_simhash,
