@@ -55,9 +55,10 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def row_key(*columns: str) -> Column:
-    """Tells rows apart by content; equal rows share a key."""
-    return F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(len(columns)))
+def row_key(*columns: str | Column) -> Column:
+    """Tells rows apart by content; equal rows share a key. A null is told from any value."""
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
 
 
 def lower_words(text: str) -> list[bytes]:

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import texts_of
 
@@ -28,7 +28,8 @@ NORMALISED = bytes(
     b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32
     for b in range(256))
 LOWER = {b: b + 32 for b in range(65, 91)}
-RESULT = ("doc_id bigint, text string, n_words bigint, n_hit bigint, item_ids array<string>, "
+ADDED = ["n_words", "n_hit", "item_ids", "spans", "cleaned", "contaminated"]
+RESULT = ("n_words bigint, n_hit bigint, item_ids array<string>, "
           "spans array<struct<start:int,end:int>>, cleaned string, contaminated boolean")
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -164,37 +165,36 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, *, window: int = 13, words_per_hit: int = 20,
     remove_chars: int = 0, max_item_chars: int = 200_000_000,
 ) -> DataFrame:
-    """Every document (doc_id, text) with its hits.
+    """All columns of every row of ``docs`` (with ``text``), and what was found in its text.
 
     ``contaminated``: at least one in ``words_per_hit`` words is hit. ``cleaned`` is the text without
     the spans longer than ``remove_chars``, null where the document is contaminated. Item ids
-    are sorted as strings.
+    are sorted as strings. The columns added replace columns of the same name.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(build_automaton(items, window, max_item_chars))
-
-    def rows(ids, texts) -> Iterator[tuple]:
-        known = automaton.value
-        for doc_id, text in zip(ids, texts):
-            words = words_of(text or "")
-            hit, met = known.match(words)
-            n_hit = 0 if hit is None else int(hit.sum())
-            spans = hit_spans(text, hit) if n_hit else []
-            bad = n_hit > 0 and words_per_hit * n_hit >= len(words)
-            cut = [s for s in spans if s[1] - s[0] > remove_chars]
-            yield (doc_id, text, len(words), n_hit, sorted({i for n in met if (i := known.items[n]) is not None}),
-                   [{"start": a, "end": b} for a, b in spans],
-                   None if bad else without_spans(text, cut) if cut else text, bad)
-
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), SPANS, pa.string(), pa.bool_()]
-    names = ["doc_id", "text", "n_words", "n_hit", "item_ids", "spans", "cleaned", "contaminated"]
+    own = [c for c in docs.columns if c not in ADDED]
+    schema = T.StructType([docs.schema[c] for c in own] + T._parse_datatype_string(RESULT).fields)
 
     def stream(batches):
+        known = automaton.value
+        types = [pa.int64(), pa.int64(), pa.list_(pa.string()), SPANS, pa.string(), pa.bool_()]
         for batch in batches:
-            found = list(rows(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            found = []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text or "")
+                hit, met = known.match(words)
+                n_hit = 0 if hit is None else int(hit.sum())
+                spans = hit_spans(text, hit) if n_hit else []
+                bad = n_hit > 0 and words_per_hit * n_hit >= len(words)
+                cut = [s for s in spans if s[1] - s[0] > remove_chars]
+                found.append((len(words), n_hit, sorted({i for n in met if (i := known.items[n]) is not None}),
+                              [{"start": a, "end": b} for a, b in spans],
+                              None if bad else without_spans(text, cut) if cut else text, bad))
             columns = zip(*found) if found else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], names=[*own, *ADDED])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(stream, RESULT)
+    return docs.select(own).mapInArrow(stream, schema)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, *, window: int = 13,
