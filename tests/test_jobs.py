@@ -224,13 +224,12 @@ def test_hourly_sales(frame):
     assert out == {(11, "M1"): (2, 3, 30.0), (3, "UNKNOWN"): (1, 1, 5.0)}
 
 
-def test_small_batches_narrow_their_lookups(spark):
+def test_batches_narrow_their_lookups(spark):
     src = sources(spark)
     one = src["payments"].filter("payment_id = 1")
-    small = jobs.narrowed(src, "payment", one, 1)
+    small = jobs.narrowed(src, "payment", one)
     assert [r.order_id for r in small["orders"].collect()] == [1]
-    assert jobs.narrowed(src, "payment", one, jobs.SMALL_BATCH_ROWS + 1) is src
-    items = jobs.narrowed(src, "order_item", src["order_items"], 2)
+    items = jobs.narrowed(src, "order_item", src["order_items"])
     assert {r._id for r in items["menu_items"].collect()} == {"M1"}
     judged = jobs.JUDGES["order_item"](src["order_items"], src).collect()
     assert sorted(map(str, judged)) == sorted(

@@ -8,6 +8,7 @@ data: a value that cannot be converted becomes NULL and the rules decide.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ HASH_SEPARATOR = "||"
 HASH_NULL = "<NULL>"
 TAG_SEPARATOR = ","
 
-ZONE_SUFFIX = r"(?i)(z|[+-]\d{2}(:?\d{2})?)\s*$"
+# Anything but a fraction after the clock time is a zone: ``Z``, an offset, or a name.
+ZONE_AFTER_TIME = r":\d{1,2}(\.\d*)?\s*[A-Za-z+\-]"
 
 
 def _column(value: Column | str) -> Column:
@@ -41,17 +43,21 @@ def to_long(value: Column | str) -> Column:
     return safe_cast(value, "bigint")
 
 
+def utc_of_instant(instant: Column) -> Column:
+    """An instant as zone-less UTC by arithmetic, so that no wall clock is read twice or skipped."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def utc_from_text(value: Column | str) -> Column:
     """Read timestamp text as a zone-less UTC timestamp, NULL if unreadable.
 
-    Text with a zone (``Z`` or an offset) is moved to UTC; text without one is
+    Text with a zone (``Z``, an offset or a zone's name) is moved to UTC; text without one is
     UTC already. The result does not depend on the session time zone.
     """
     text = _column(value)
-    with_zone = F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz")
-    )
-    return F.when(text.rlike(ZONE_SUFFIX), with_zone).otherwise(text.try_cast("timestamp_ntz"))
+    with_zone = utc_of_instant(text.try_cast("timestamp"))
+    return F.when(text.rlike(ZONE_AFTER_TIME), with_zone).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def utc(df: DataFrame, name: str) -> Column:
@@ -60,9 +66,7 @@ def utc(df: DataFrame, name: str) -> Column:
     if isinstance(data_type, T.TimestampNTZType):
         return F.col(name)
     if isinstance(data_type, T.TimestampType):
-        return F.convert_timezone(
-            F.current_timezone(), F.lit("UTC"), F.col(name).cast("timestamp_ntz")
-        )
+        return utc_of_instant(F.col(name))
     if isinstance(data_type, T.DateType):
         return F.col(name).cast("timestamp_ntz")
     return utc_from_text(F.col(name).cast("string"))

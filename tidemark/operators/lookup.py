@@ -45,11 +45,10 @@ def left_lookup(df: DataFrame, lookup: DataFrame, left: str, right: str) -> Data
 def rows_of_keys(
     parent: DataFrame, parent_key: Column, changes: DataFrame, change_key: Column
 ) -> DataFrame:
-    """Only the parent rows that a small set of changed rows refers to.
+    """Only the parent rows that the changed rows refer to.
 
-    The caller has counted ``changes`` and found it small, which is what allows
-    the broadcast. The parent is then filtered where it is scanned, before its
-    rows are shuffled or de-duplicated.
+    There is no hint: Spark broadcasts the keys when they measure small, and the parent is then
+    filtered where it is scanned.
     """
     keys = changes.select(change_key.alias("_wanted")).filter(F.col("_wanted").isNotNull())
-    return parent.join(F.broadcast(keys.distinct()), parent_key == F.col("_wanted"), "left_semi")
+    return parent.join(keys.distinct(), parent_key == F.col("_wanted"), "left_semi")

@@ -14,17 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import UNKNOWN_KEY
-from tidemark.operators.lookup import splittable_join
 
-# An identifier with more versions than this is looked up by sorting instead of
-# by comparing each event with each version of the identifier.
-BUSY_VERSIONS = 256
-
-# Width of the time slices over which the sorting forms split one identifier. An
-# identifier's rows of one slice share a task; sixteen years are 561,024 quarter
-# hours, which bounds the rows of the second, per-identifier window.
-SLICE_SECONDS = 900
-VERSION_SLICE_SECONDS = 86400
+# Width of the time slices over which one identifier's versions are split.
+SLICE_SECONDS = 86400
 
 
 @dataclass(frozen=True)
@@ -43,7 +35,7 @@ class VersionLookup:
 class CodeLookup:
     """Equality lookup in a static dimension: event column -> dimension column.
 
-    ``bounded`` states that the dimension has a fixed, small row count (the date
+    ``bounded=True`` states that the dimension has a fixed, small row count (the date
     and payment-method dimensions), which makes the broadcast safe at any scale.
     """
 
@@ -52,7 +44,7 @@ class CodeLookup:
     dimension_column: str
     key_column: str
     output: str
-    bounded: bool = True
+    bounded: bool = False
 
     def pairs(self) -> DataFrame:
         return self.dimension.select(
@@ -64,7 +56,13 @@ def covers(time: Column, valid_from: Column, valid_to: Column) -> Column:
     return (time >= valid_from) & (valid_to.isNull() | (time < valid_to))
 
 
-def _interval_join(events: DataFrame, lookup: VersionLookup, event_time: str) -> DataFrame:
+def as_of_lookup(events: DataFrame, lookup: VersionLookup, event_time: str) -> DataFrame:
+    """Surrogate key of the version in force at ``event_time``, 0 when there is none.
+
+    An equi join with the interval as residual condition, which Spark runs as a broadcast or
+    sort-merge join; adaptive execution splits an identifier with very many events. A version that
+    ends where it starts, or before, covers no time and matches nothing.
+    """
     versions = lookup.versions().select(
         F.col(lookup.id_column).alias("_id"),
         F.col("valid_from").alias("_from"),
@@ -119,93 +117,6 @@ def running_latest(df: DataFrame, keys: Sequence[str], time: str, value: str, sl
     )
 
 
-def as_of_by_sorting(
-    events: DataFrame, lookup: VersionLookup, event_time: str, slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
-    """As-of lookup whose cost grows with events + versions, not their product.
-
-    Versions and events of an identifier are merged in time order and each event
-    takes the last version that started at or before it. Versions of one
-    identifier must not overlap (``ambiguous_events`` checks that first).
-    """
-    version = F.struct("valid_from", F.col(lookup.key_column).alias("key"), "valid_to")
-    marks = lookup.versions().select(
-        F.col(lookup.id_column).alias("_id"),
-        F.col("valid_from").alias("_time"),
-        F.lit(0).alias("_is_event"),
-        version.alias("_version"),
-    )
-    rows = events.select(
-        F.col(lookup.id_column).alias("_id"),
-        F.col(event_time).alias("_time"),
-        F.lit(1).alias("_is_event"),
-        F.struct(*events.columns).alias("_event"),
-    )
-    merged = rows.unionByName(marks, allowMissingColumns=True)
-    # Sorting needs a place for every event; one without identifier or time matches nothing.
-    placed = merged.filter(F.col("_id").isNotNull() & F.col("_time").isNotNull())
-    adrift = rows.filter(F.col("_id").isNull() | F.col("_time").isNull())
-    latest = running_latest(
-        placed, ["_id"], "_time", "_version", slice_seconds, order=["_is_event"]
-    ).filter(F.col("_is_event") == 1)
-    found = F.when(
-        F.col("_running.valid_to").isNull() | (F.col("_time") < F.col("_running.valid_to")),
-        F.col("_running.key"),
-    )
-    matched = latest.select(
-        "_event.*", F.coalesce(found, F.lit(UNKNOWN_KEY)).alias(lookup.key_column)
-    )
-    key_type = matched.schema[lookup.key_column].dataType
-    unmatched = adrift.select(
-        "_event.*", F.lit(UNKNOWN_KEY).cast(key_type).alias(lookup.key_column)
-    )
-    return matched.unionByName(unmatched)
-
-
-def busy_identifiers(lookup: VersionLookup, limit: int = BUSY_VERSIONS) -> DataFrame:
-    return (
-        lookup.versions()
-        .groupBy(F.col(lookup.id_column).alias("_busy_id"))
-        .agg(F.count(F.lit(1)).alias("_versions"))
-        .filter(F.col("_versions") > limit)
-        .select("_busy_id")
-    )
-
-
-def as_of_lookup(
-    events: DataFrame, lookup: VersionLookup, event_time: str, busy: bool = False,
-    limit: int = BUSY_VERSIONS,
-) -> DataFrame:
-    """Surrogate key of the version in force at ``event_time``, 0 when there is none.
-
-    The normal form is an equi join with the interval as residual condition,
-    which Spark runs as a broadcast or sort-merge join. With ``busy=True`` the
-    identifiers with more than ``limit`` versions go through the sorting form.
-    """
-    if not busy:
-        return _interval_join(events, lookup, event_time)
-    busy_ids = busy_identifiers(lookup, limit)
-    ordinary = splittable_join(events, busy_ids, lookup.id_column, "_busy_id", "left_anti")
-    crowded = splittable_join(events, busy_ids, lookup.id_column, "_busy_id", "left_semi")
-    return _interval_join(ordinary, lookup, event_time).unionByName(
-        as_of_by_sorting(crowded, lookup, event_time)
-    )
-
-
-def crowded_dimensions(lookups: Sequence[VersionLookup], limit: int = BUSY_VERSIONS) -> set[str]:
-    """Key columns of the dimensions that have a busy identifier (one small job)."""
-    counts = [
-        look.versions()
-        .groupBy(look.id_column)
-        .count()
-        .agg(F.max("count").alias("versions"))
-        .withColumn("dimension", F.lit(look.key_column))
-        for look in lookups
-    ]
-    most = reduce(DataFrame.unionByName, counts)
-    return {row.dimension for row in most.filter(F.col("versions") > limit).collect()}
-
-
 def code_lookup(events: DataFrame, lookup: CodeLookup) -> DataFrame:
     pairs = F.broadcast(lookup.pairs()) if lookup.bounded else lookup.pairs()
     return (
@@ -220,19 +131,12 @@ def resolve_keys(
     event_time: str,
     versioned: Sequence[VersionLookup],
     coded: Sequence[CodeLookup] = (),
-    crowded: set[str] | None = None,
 ) -> DataFrame:
-    """Attach every surrogate key of a fact row; misses become the unknown key.
-
-    ``crowded`` names the key columns of dimensions with busy identifiers. When
-    it is None the dimensions are asked (see ``crowded_dimensions``).
-    """
-    if crowded is None:
-        crowded = crowded_dimensions(versioned) if versioned else set()
+    """Attach every surrogate key of a fact row; misses become the unknown key."""
     for lookup in coded:
         events = code_lookup(events, lookup)
     for lookup in versioned:
-        events = as_of_lookup(events, lookup, event_time, lookup.key_column in crowded)
+        events = as_of_lookup(events, lookup, event_time)
     return events
 
 
@@ -241,7 +145,7 @@ def resolve_keys(
 _OPEN_END = "9999-12-31 00:00:00"
 
 
-def _with_previous_end(dimension: DataFrame, id_column: str, busy: bool) -> DataFrame:
+def _with_previous_end(dimension: DataFrame, id_column: str) -> DataFrame:
     """Versions with the latest end among the identifier's earlier versions.
 
     Several versions may start together; ordering by the end as well keeps the
@@ -252,28 +156,19 @@ def _with_previous_end(dimension: DataFrame, id_column: str, busy: bool) -> Data
         "valid_from",
         F.coalesce("valid_to", F.lit(_OPEN_END).cast("timestamp_ntz")).alias("_end"),
     ).filter(F.col("_end") > F.col("valid_from"))
-    if busy:
-        return running_latest(
-            ended, [id_column], "valid_from", "_end", VERSION_SLICE_SECONDS, order=["_end"],
-            inclusive=False,
-        ).withColumnRenamed("_running", "_previous_end")
-    earlier = (
-        Window.partitionBy(id_column)
-        .orderBy("valid_from", "_end")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return ended.withColumn("_previous_end", F.max("_end").over(earlier))
+    return running_latest(
+        ended, [id_column], "valid_from", "_end", SLICE_SECONDS, order=["_end"], inclusive=False,
+    ).withColumnRenamed("_running", "_previous_end")
 
 
-def version_overlaps(dimension: DataFrame, id_column: str, busy: bool = True) -> DataFrame:
+def version_overlaps(dimension: DataFrame, id_column: str) -> DataFrame:
     """Stretches of time in which an identifier has more than one valid version.
 
-    ``overlap_to`` is NULL while the overlap is still open. ``busy=False`` is the
-    cheaper form for a dimension known to have few versions per identifier.
+    ``overlap_to`` is NULL while the overlap is still open.
     """
     end = F.least("_end", "_previous_end")
     return (
-        _with_previous_end(dimension, id_column, busy)
+        _with_previous_end(dimension, id_column)
         .filter(F.col("valid_from") < F.col("_previous_end"))
         .select(
             id_column,
@@ -284,62 +179,34 @@ def version_overlaps(dimension: DataFrame, id_column: str, busy: bool = True) ->
 
 
 def _inside_overlap(
-    events: DataFrame, event_id: str, event_time: str, lookup: VersionLookup, busy: bool
+    events: DataFrame, event_id: str, event_time: str, lookup: VersionLookup
 ) -> DataFrame:
-    """Ids of the events that fall into an overlap of their identifier's versions.
-
-    With few versions per identifier a semi join on the interval finds them. For
-    busy dimensions, an event lies in an overlap exactly when the latest end
-    among the overlaps that began before it is still ahead: one sorted pass.
-    """
-    overlaps = version_overlaps(lookup.dimension, lookup.id_column, busy).withColumnRenamed(
+    """Ids of the events that fall into an overlap of their identifier's versions."""
+    overlaps = version_overlaps(lookup.dimension, lookup.id_column).withColumnRenamed(
         lookup.id_column, "_id"
     )
     timed = events.select(
         F.col(lookup.id_column).alias("_event_id"), F.col(event_time).alias("_time"), event_id
     )
-    if not busy:
-        inside = (F.col("_event_id") == F.col("_id")) & covers(
-            F.col("_time"), F.col("overlap_from"), F.col("overlap_to")
-        )
-        return timed.join(overlaps, inside, "left_semi").select(event_id)
-    marks = overlaps.select(
-        "_id", F.col("overlap_from").alias("_time"), F.lit(0).alias("_is_event"),
-        F.coalesce("overlap_to", F.lit(_OPEN_END).cast("timestamp_ntz")).alias("_end"),
-    )
-    suspects = (
-        splittable_join(
-            timed.filter(F.col("_time").isNotNull()), marks.select("_id").distinct(),
-            "_event_id", "_id", "left_semi",
-        )
-        .withColumnRenamed("_event_id", "_id")
-        .withColumn("_is_event", F.lit(1))
-    )
-    merged = suspects.unionByName(marks, allowMissingColumns=True)
-    return (
-        running_latest(merged, ["_id"], "_time", "_end", SLICE_SECONDS, order=["_is_event"])
-        .filter((F.col("_is_event") == 1) & (F.col("_running") > F.col("_time")))
-        .select(event_id)
+    inside = (F.col("_event_id") == F.col("_id")) & covers(
+        F.col("_time"), F.col("overlap_from"), F.col("overlap_to")
     )
+    return timed.join(overlaps, inside, "left_semi").select(event_id)
 
 
 def ambiguous_events(
     events: DataFrame, event_id: str, event_time: str, versioned: Sequence[VersionLookup],
-    coded: Sequence[CodeLookup] = (), crowded: set[str] | None = None,
+    coded: Sequence[CodeLookup] = (),
 ) -> DataFrame:
     """(event id, dimension) for every event that more than one dimension row matches.
 
     An event is ambiguous exactly when it falls into a stretch where versions
     overlap, so only such stretches are looked at. A healthy warehouse has none,
-    and no event is paired with a version to find that out. ``crowded`` is as in
-    ``resolve_keys``.
+    and no event is paired with a version to find that out.
     """
-    if crowded is None:
-        crowded = crowded_dimensions(versioned) if versioned else set()
     found = [
-        _inside_overlap(
-            events, event_id, event_time, lookup, lookup.key_column in crowded
-        ).select(event_id, F.lit(lookup.key_column).alias("dimension"))
+        _inside_overlap(events, event_id, event_time, lookup).select(
+            event_id, F.lit(lookup.key_column).alias("dimension"))
         for lookup in versioned
     ]
     for lookup in coded:

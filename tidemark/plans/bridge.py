@@ -295,15 +295,21 @@ ROLES["hist_menu_item"] = _history(
 
 # The order fact before a batch, and the batch: the same orders delivered again,
 # some unchanged, some newer, some older, some whose member has arrived since.
-ROLES["old_fact_order"] = """
+ROLES["every_fact_order"] = """
 SELECT k * 3 + 7 AS order_key, k AS order_id,
   CASE WHEN k % 5 = 0 THEN CAST(0 AS BIGINT) ELSE cust * 2 + 1 END AS customer_key,
   (k % 10 + 1) * 2 + 1 AS restaurant_key, 'old road' AS delivery_address,
   CAST(year(placed) * 10000 + month(placed) * 100 + 1 AS INT) AS order_date_key,
   'PREPARING' AS order_status, subtotal, discount, fee AS delivery_fee,
   CAST(subtotal - discount + fee AS DECIMAL(12,2)) AS total_amount,
-  placed AS ordered_at, placed + INTERVAL '2' DAY AS source_updated_at, 'batch-1' AS batch_id
-FROM {order_base} WHERE priority <> '5-LOW'
+  placed AS ordered_at, placed + INTERVAL '2' DAY AS source_updated_at, 'batch-1' AS batch_id, priority
+FROM {order_base}
+"""
+# One order in five is not loaded yet, so that the batch has new orders too.
+ROLES["old_fact_order"] = """
+SELECT order_key, order_id, customer_key, restaurant_key, delivery_address, order_date_key, order_status,
+  subtotal, discount, delivery_fee, total_amount, ordered_at, source_updated_at, batch_id
+FROM {every_fact_order} WHERE priority <> '5-LOW'
 """
 ROLES["new_fact_order"] = """
 SELECT k AS order_id, cust * 2 + 1 AS customer_key, (k % 10 + 1) * 2 + 1 AS restaurant_key,
@@ -384,7 +390,7 @@ SELECT CASE WHEN order_id % 199 = 1 THEN NULL ELSE order_key END AS order_key, o
   CASE WHEN order_id % 137 = 8 THEN -subtotal ELSE subtotal END AS subtotal, discount, delivery_fee,
   total_amount, ordered_at, source_updated_at,
   CASE WHEN order_id % 139 = 9 THEN NULL ELSE batch_id END AS batch_id
-FROM {old_fact_order}
+FROM {every_fact_order}
 """
 ROLES["bad_fact_order_item"] = """
 SELECT l_orderkey * 10 + l_linenumber AS order_item_id, l_orderkey AS order_id,

@@ -94,23 +94,23 @@ def version_lookups(fact: Fact, dimensions: Mapping[str, DataFrame]) -> list[Ver
 
 def code_lookups(fact: Fact, dates: DataFrame, methods: DataFrame | None) -> list[CodeLookup]:
     """The date dimension once per role, the payment method by its code."""
-    lookups = [CodeLookup(dates, d, "date_key", "date_key", d) for d in fact.dates]
+    lookups = [CodeLookup(dates, d, "date_key", "date_key", d, bounded=True) for d in fact.dates]
     if fact.methods:
         lookups.append(CodeLookup(
             methods, "payment_method", "payment_method_code", "payment_method_key",
-            "payment_method_key",
+            "payment_method_key", bounded=True,
         ))
     return lookups
 
 
 def resolve_fact(
     staged: DataFrame, fact: Fact, dimensions: Mapping[str, DataFrame], dates: DataFrame,
-    methods: DataFrame | None = None, crowded: set[str] | None = None,
+    methods: DataFrame | None = None,
 ) -> DataFrame:
     """Staged rows with every surrogate key, in the warehouse contract."""
     resolved = resolve_keys(
         staged, fact.event_time, version_lookups(fact, dimensions),
-        code_lookups(fact, dates, methods), crowded,
+        code_lookups(fact, dates, methods),
     )
     carried = ["batch_id"] if "batch_id" in staged.columns else []
     return resolved.select(*fact.columns(), *carried)

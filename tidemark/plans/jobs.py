@@ -12,7 +12,8 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from tidemark.operators.seeds import (
     unknown_member,
 )
 from tidemark.operators.surrogate import assign_keys
-from tidemark.operators.temporal import ambiguous_events, crowded_dimensions
+from tidemark.operators.temporal import ambiguous_events
 from tidemark.operators.upsert import fact_hits
 from tidemark.plans import contracts
 from tidemark.plans import entities as E
@@ -111,17 +112,12 @@ LOOKUPS = {
     "payment": [("orders", "order_id", "order_id", C.to_long)],
     "delivery": [("orders", "order_id", "order_id", C.to_long)],
 }
-# Up to this many changed rows their keys are broadcast to narrow the lookups.
-SMALL_BATCH_ROWS = 1_000_000
-
 
-def narrowed(sources: Sources, pipeline: str, changes: DataFrame, changed_rows: int) -> Sources:
-    """The sources with each lookup cut to what a small batch refers to.
 
-    A large batch, such as a first load, reads its lookups in full.
-    """
+def narrowed(sources: Sources, pipeline: str, changes: DataFrame) -> Sources:
+    """The sources with each lookup cut to what the batch refers to."""
     lookups = LOOKUPS.get(pipeline, [])
-    if not lookups or changed_rows > SMALL_BATCH_ROWS:
+    if not lookups:
         return sources
     return {
         name: rows_of_keys(sources[name], clean(key), changes, clean(reference))
@@ -181,6 +177,7 @@ def merge_dimension(
     rewritten. A bucket holds all versions of its identifiers, so each
     replacement is complete in itself.
     """
+    warehouse.check_layout()
     name, key = dimension.entity.name, dimension.identifier
     staged = _staged_batch(warehouse, name, batch_id)
     stored = read_dimension(warehouse, name)
@@ -231,15 +228,12 @@ def merge_fact(warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datet
     dates, methods = dim_date(warehouse.spark), dim_payment_method(warehouse.spark)
     versioned = version_lookups(fact, dimensions)
     codes = code_lookups(fact, dates, methods)
-    crowded = crowded_dimensions(versioned)
-    ambiguous = ambiguous_events(
-        staged, fact.identifier, fact.event_time, versioned, codes, crowded
-    )
+    ambiguous = ambiguous_events(staged, fact.identifier, fact.event_time, versioned, codes)
     if not ambiguous.isEmpty():
         raise RuntimeError(f"{pipeline} batch matches several versions of a dimension row")
 
     fallback = warehouse.checkpoint_fallback()
-    resolved = resolve_fact(staged, fact, dimensions, dates, methods, crowded).withColumn(
+    resolved = resolve_fact(staged, fact, dimensions, dates, methods).withColumn(
         "event_month", F.floor(F.col(fact.partition_source) / 100).cast("int")
     )
     resolved = cut_lineage(resolved, fallback)
@@ -302,10 +296,11 @@ def run_entity(
     lower = ledger.resume_from(pipeline, f"{feed.ledger_prefix}_to")
     upper = feed.upper()
     changes = feed.window(lower, upper, lookback)
-    if pipeline in LOOKUPS:
-        sources = narrowed(sources, pipeline, changes, changes.count())
-    # The judged rows feed the counts, the quarantine and the staging write.
-    checked = JUDGES[pipeline](changes, sources).persist(StorageLevel.MEMORY_AND_DISK)
+    # The judged rows feed the counts, the quarantine and the staging write. They are written once:
+    # a source that moves meanwhile, or a lost executor, cannot make these three differ.
+    judged = warehouse.path("judged", f"{pipeline}-{uuid4().hex}")
+    JUDGES[pipeline](changes, narrowed(sources, pipeline, changes)).write.parquet(judged)
+    checked = warehouse.spark.read.parquet(judged)
     try:
         counts = row_counts(checked).first()
         batch = ledger.start(
@@ -319,7 +314,7 @@ def run_entity(
             raise
         return ledger.complete(batch, loaded)
     finally:
-        checked.unpersist()
+        warehouse.delete(judged)
 
 
 def _load(
@@ -341,6 +336,7 @@ def _load(
 
 def bootstrap(warehouse: Warehouse, ledger: Ledger) -> None:
     """Seed the bootstrap batch and the unknown members; safe to run again."""
+    warehouse.check_layout()
     if ledger.batches().filter(F.col("batch_id") == BOOTSTRAP_BATCH).isEmpty():
         ledger.record({
             "batch_id": BOOTSTRAP_BATCH, "pipeline_name": "bootstrap", "started_at": ledger.now(),

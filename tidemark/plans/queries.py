@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Mapping
 from datetime import timedelta
 from functools import reduce
@@ -18,7 +17,7 @@ from tidemark.plans import entities as E
 from tidemark.plans import jobs, reports
 from tidemark.plans import warehouse_checks as W
 from tidemark.plans.bridge import table
-from tidemark.plans.facts import FACTS, resolve_fact
+from tidemark.plans.facts import DIMENSIONS, FACTS, resolve_fact
 from tidemark.session import cut_lineage, shared_folder
 from tidemark.sources import windows
 from tidemark.sources.documents import parse_documents
@@ -412,8 +411,8 @@ def asof_join(spark, d):
 
 @query
 def asof_join_sorted(spark, d):
-    """The same lookup in the form for identifiers with very many versions."""
-    return temporal.as_of_by_sorting(
+    """The same lookup; kept under its name from when it had a form of its own."""
+    return temporal.as_of_lookup(
         _placed_orders(spark, d), _customer_lookup(spark, d), "ordered_at"
     )
 
@@ -432,10 +431,10 @@ def _event_versions(spark, d):
 
 @query
 def asof_join_busy(spark, d):
-    """Events against user versions; users with over 12 versions take the sorting form."""
+    """Events against user versions, among them users with very many."""
     lookup = temporal.VersionLookup(_event_versions(spark, d), "user_id", "user_key")
     events = table(spark, d, "events").select("event_id", "user_id", "ts")
-    return temporal.as_of_lookup(events, lookup, "ts", busy=True, limit=12)
+    return temporal.as_of_lookup(events, lookup, "ts")
 
 
 def _resolve_query(name: str) -> Query:
@@ -648,7 +647,8 @@ def recent_batches_ok(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new warehouse in the folder that all executors share; below the catalog's where none is named."""
+    base = shared_folder(spark) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/warehouse-{uuid4().hex}"
 
 
@@ -804,10 +804,9 @@ def ck_lengths(spark, d):
 
 @query
 def hourly_item_sales(spark, d):
-    """Flagship: clean lines, resolve their keys at order time, report by local hour."""
-    fact = FACTS["order_item"]
-    resolved = resolve_fact(
-        _clean(spark, d, "order_item"), fact, _dimensions(spark, d, fact.dimensions),
-        seeds.dim_date(spark),
-    )
+    """Flagship: clean lines, find their menu item as of the order time, report by local hour."""
+    item = DIMENSIONS["menu_item"]
+    versions = _dimensions(spark, d, ["menu_item"])["menu_item"]
+    lookup = temporal.VersionLookup(versions, item.identifier, item.key)
+    resolved = temporal.as_of_lookup(_clean(spark, d, "order_item"), lookup, "ordered_at")
     return reports.hourly_item_sales(resolved, table(spark, d, "hist_menu_item"))

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.windows import as_utc_naive, incremental_window
+from tidemark.sources.windows import incremental_window, watermark_value
 
 
 def checked_identifier(name: str) -> str:
@@ -63,8 +63,7 @@ class RelationalSource:
     def high_watermark(self, spark: SparkSession, table: str, column: str) -> datetime | None:
         """Largest value of ``column``; the database computes it."""
         query = f"SELECT MAX({self._quoted(column)}) AS watermark_to FROM {self._quoted(table)}"
-        value = self._load(spark, query=query).first()[0]
-        return None if value is None else as_utc_naive(value)
+        return watermark_value(self._load(spark, query=query).toDF("watermark_to"))
 
     def read_window(
         self, spark: SparkSession, table: str, column: str, lower: datetime | None,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY_RANGE = "table_name string, last_key bigint"
+LAYOUT = "buckets int"
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class Warehouse:
         target, files = self._file_system(path)
         return files.exists(target)
 
-    def _delete(self, path: str) -> None:
+    def delete(self, path: str) -> None:
         target, files = self._file_system(path)
         files.delete(target, True)
 
@@ -53,6 +54,18 @@ class Warehouse:
             return empty
         return self.spark.read.schema(schema).parquet(path).select(*empty.columns)
 
+    def check_layout(self) -> None:
+        """Store the bucket count with the warehouse; refuse another one than it was made with.
+
+        Rows of one identifier are looked for in one bucket, so a different count would miss them.
+        """
+        stored = self.read("warehouse", "layout", LAYOUT).agg(F.max("buckets").alias("n")).first().n
+        if stored is None:
+            self.spark.createDataFrame([(self.buckets,)], LAYOUT).coalesce(1).write.mode(
+                "append").parquet(self.path("warehouse", "layout"))
+        elif stored != self.buckets:
+            raise ValueError(f"the warehouse has {stored} buckets, not {self.buckets}")
+
     def bucket(self, identifier: str) -> Column:
         return F.pmod(F.xxhash64(identifier), F.lit(self.buckets)).cast("int")
 
@@ -88,7 +101,9 @@ class Warehouse:
         self._overwrite_partitions(df, self.path(area, name), "batch_id")
 
     def purge_batch(self, area: str, name: str, batch_id: str) -> None:
-        self._delete(f"{self.path(area, name)}/batch_id={batch_id}")
+        """Delete one batch's folder, under the name that Spark's writer gave it."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        self.delete(f"{self.path(area, name)}/batch_id={escape(batch_id)}")
 
     # --- tables ------------------------------------------------------------
 
@@ -112,7 +127,7 @@ class Warehouse:
         path = self.path("warehouse", name)
         self._overwrite_partitions(state.hint("rebalance", column), path, column)
         for value in emptied:
-            self._delete(f"{path}/{column}={value}")
+            self.delete(f"{path}/{column}={value}")
 
 
 def purge_rows(staged: DataFrame, batch_id: str) -> DataFrame:

@@ -85,6 +85,10 @@ def document_watermark(df: DataFrame, field: str) -> DataFrame:
 
 
 def watermark_value(watermark: DataFrame) -> datetime | None:
-    """The probe's value as naive UTC."""
-    text = watermark.select(F.col("watermark_to").cast("timestamp_ntz").cast("string")).first()[0]
+    """The probe's value as naive UTC, whatever zone the session or the driver's host is in."""
+    moment = F.col("watermark_to")
+    if isinstance(watermark.schema["watermark_to"].dataType, T.TimestampType):
+        micros = watermark.select(F.unix_micros(moment)).first()[0]
+        return None if micros is None else datetime(1970, 1, 1) + timedelta(microseconds=micros)
+    text = watermark.select(moment.cast("timestamp_ntz").cast("string")).first()[0]
     return None if text is None else datetime.fromisoformat(text)
