@@ -51,10 +51,10 @@ def test_best_paths_are_the_librarys(library, prose, spark):
     ours, stored = PieceEncoder(Pieces.load(MODEL)), PieceEncoder(Pieces.load(path))
     same = 0
     for text in texts:
-        ids, score = ours.encode(text)
+        (ids, score), = ours.encode([text])
         theirs = processor.encode(text)
         assert ours.pieces.decode(ids) == text
-        assert stored.encode(text)[1] == pytest.approx(score, abs=1e-3)
+        assert stored.encode([text])[0][1] == pytest.approx(score, abs=1e-3)
         if not any(map(processor.is_byte, theirs)):
             assert score == pytest.approx(sum(ours.pieces.scores[i] for i in theirs), abs=1e-3)
         same += ids.tolist() == theirs
@@ -75,6 +75,16 @@ def test_brute_force_on_short_words():
         assert pieces.segment(word.encode())[1] == pytest.approx(best(word.encode()))
 
 
+def test_together_equals_one_by_one(spark):
+    pieces = Pieces.load(MODEL)
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice("aehtn.,é日☃\n#&") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    words += list({"▁" + w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect() for w in r.text.split(" ") if w})
+    raw = [w.encode() for w in words]
+    for (ids, score), word in zip(pieces.segment_together(raw), raw):
+        assert (np.frombuffer(ids, "<i4").tolist(), score) == pieces.segment(word)
+
+
 def test_documents(spark, documents):
     rows = {r.doc_id: r for r in encode_pieces(documents("", None, "▁", *ODD), MODEL).collect()}
     assert rows[0].n_pieces == rows[1].n_pieces == 0 and rows[0].round_trip and rows[1].round_trip

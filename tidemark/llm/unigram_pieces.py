@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ MARK = "▁"
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: An uncovered character costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
+UNREACHED = -math.inf
 SCORE_STEPS = 2**20
 KEPT_CHARS = 64
+#: Stretches up to this length are segmented together, so many at a time.
+TOGETHER_BYTES, TOGETHER = 64, 8192
 
 
 @dataclass
@@ -124,34 +128,34 @@ class Pieces:
     def segment(self, stretch: bytes) -> tuple[list[int], float]:
         """Best ids and their log score of one stretch of marked UTF-8."""
         n = len(stretch)
-        best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
+        best, came, by = [UNREACHED] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         for start in range(n):
             so_far = best[start]
-            if so_far == -math.inf:
+            if so_far == UNREACHED:
                 continue
-            lead = stretch[start]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            covered, state, at = False, 0, start
-            while at < n:
-                child = base[state] + stretch[at] + 1
+            state, at, first = 0, start, -1
+            for byte in stretch[start:]:
+                child = base[state] + byte + 1
                 if check[child] != state:
                     break
                 state, at = child, at + 1
                 piece = value[state]
                 if piece >= 0:
-                    covered |= at == start + width
+                    if first < 0:
+                        first = at
                     score = so_far + scores[piece]
                     if score > best[at]:
-                        best[at], back[at] = score, (start, piece)
-            end = start + width
-            if not covered and so_far + self.unknown_score > best[end]:
-                best[end], back[end] = so_far + self.unknown_score, (start, -1)
+                        best[at], came[at], by[at] = score, start, piece
+            lead = stretch[start]
+            end = start + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            if first != end and so_far + self.unknown_score > best[end]:  # no piece is the character alone
+                best[end], came[end], by[end] = so_far + self.unknown_score, start, -1
         ids: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
+            start, piece = came[at], by[at]
             if piece >= 0:
                 ids.append(piece)
             else:
@@ -160,6 +164,65 @@ class Pieces:
             at = start
         return ids[::-1], best[n]
 
+    def segment_together(self, stretches: list[bytes]) -> list[tuple[bytes, float]]:
+        """What :meth:`segment` finds, for many short stretches at once; ids as bytes."""
+        n, lengths = len(stretches), np.array(list(map(len, stretches)))
+        width = int(lengths.max())
+        text = np.zeros((n, width), np.int64)
+        text[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(stretches), np.uint8)
+        base, check, value, scores, spelled = self.arrays
+        best = np.full((n, width + 1), UNREACHED)
+        came, by = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        best[:, 0] = 0.0
+        for start in range(width):
+            here = np.flatnonzero((best[:, start] > UNREACHED) & (lengths > start))
+            so_far = best[here, start]
+            lead = text[here, start]
+            ends = start + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            alone = np.zeros(n, bool)  # has a piece that is just the character
+            walking, state, score = here, np.zeros(len(here), np.int64), so_far
+            end_of = np.zeros(n, np.int64)
+            end_of[here] = ends
+            for at in range(start, width):
+                child = base[state] + text[walking, at] + 1
+                go = (check[child] == state) & (lengths[walking] > at)
+                walking, state, score = walking[go], child[go], score[go]
+                if not len(walking):
+                    break
+                piece = value[state]
+                hit = piece >= 0
+                rows, piece, total = walking[hit], piece[hit], score[hit] + scores[piece[hit]]
+                alone[rows[end_of[rows] == at + 1]] = True
+                better = total > best[rows, at + 1]
+                rows = rows[better]
+                best[rows, at + 1], came[rows, at + 1], by[rows, at + 1] = total[better], start, piece[better]
+            unknown = ~alone[here] & (so_far + self.unknown_score > best[here, ends])
+            rows, to = here[unknown], ends[unknown]
+            best[rows, to], came[rows, to] = so_far[unknown] + self.unknown_score, start
+            by[rows, to] = np.where(to == start + 1, spelled[lead[unknown]], -1)
+        rows, at, steps = np.arange(n), lengths.copy(), []
+        odd = np.zeros(n, bool)
+        while len(rows):
+            piece = by[rows, at]
+            odd[rows[piece < 0]] = True
+            steps.append((rows, piece))
+            at = came[rows, at].astype(np.int64)
+            rows, at = rows[at > 0], at[at > 0]
+        owner = np.concatenate([r for r, _ in steps[::-1]])
+        ids = np.concatenate([p for _, p in steps[::-1]])[np.argsort(owner, kind="stable")].astype("<i4")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]) * 4
+        flat, total = ids.tobytes(), best[np.arange(n), lengths].tolist()
+        found = [(flat[x:y], t) for x, y, t in zip(bounds.tolist(), bounds[1:].tolist(), total)]
+        for i in np.flatnonzero(odd).tolist():  # characters of several bytes that are spelled
+            alone_ids, score = self.segment(stretches[i])
+            found[i] = np.array(alone_ids, "<i4").tobytes(), score
+        return found
+
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        spelled = np.array([i if i >= 0 else self.unknown_id for i in self.byte_ids])
+        return (*(np.array(c) for c in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores), spelled)
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes joined, markers back to spaces, without the dummy space."""
         raw = b"".join(map(self.texts.__getitem__, ids.tolist())).replace(MARK.encode(), b" ")
@@ -177,8 +240,10 @@ class PieceEncoder:
 
     _of_worker: tuple = (None, None)
 
-    def __init__(self, pieces: Pieces, kept: int = 300_000):
-        self.pieces, self.kept, self.known = pieces, kept, {}
+    def __init__(self, pieces: Pieces, kept: int = 1_000_000):
+        self.pieces, self.kept = pieces, kept
+        self.ids: dict[str, bytes] = {}
+        self.scores: dict[str, float] = {}
 
     @classmethod
     def of_worker(cls, broadcast) -> PieceEncoder:
@@ -187,30 +252,41 @@ class PieceEncoder:
             cls._of_worker = pieces, cls(pieces)
         return cls._of_worker[1]
 
-    def _solve(self, stretch: str) -> tuple[bytes, float]:
-        ids, score = self.pieces.segment(stretch.encode("utf-8", "surrogatepass"))
-        return np.array(ids, "<i4").tobytes(), score
-
-    def encode(self, text: str) -> tuple[np.ndarray, float]:
-        """Ids and log score."""
+    @staticmethod
+    def stretches(text: str) -> list[str]:
+        """Stretches of the marked text; a lone mark in front of a stretch is left out."""
         if not text:
-            return np.empty(0, "<i4"), 0.0
-        if len(self.known) > self.kept:
-            self.known = {}
-        marked = MARK + text.replace(" ", MARK)
-        if MARK * 2 in marked or marked.endswith(MARK):
-            stretches = STRETCH.findall(marked)
-        else:
-            stretches = [MARK + s for s in marked[1:].split(MARK)]
-        known, found = self.known, []
-        for s in stretches:
-            hit = known.get(s)
-            if hit is None:
-                hit = self._solve(s)
-                if len(s) <= KEPT_CHARS:
-                    known[s] = hit
-            found.append(hit)
-        return np.frombuffer(b"".join([f[0] for f in found]), "<i4"), math.fsum([f[1] for f in found])
+            return []
+        if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        found = STRETCH.findall(MARK + text.replace(" ", MARK))
+        return [s[1:] if s[:1] == MARK and s[1:2] not in (MARK, "") else s for s in found]
+
+    def _learn(self, parts: list[str]) -> None:
+        marked = [(p if p[0] == MARK else MARK + p).encode("utf-8", "surrogatepass") for p in parts]
+        order = sorted(range(len(parts)), key=lambda i: len(marked[i]))
+        short = [i for i in order if len(marked[i]) <= TOGETHER_BYTES]
+        for at in range(0, len(short), TOGETHER):
+            group = short[at:at + TOGETHER]
+            for i, found in zip(group, self.pieces.segment_together([marked[i] for i in group])):
+                self.ids[parts[i]], self.scores[parts[i]] = found
+        for i in order[len(short):]:
+            ids, self.scores[parts[i]] = self.pieces.segment(marked[i])
+            self.ids[parts[i]] = np.array(ids, "<i4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
+        """Ids and log score of each text."""
+        if len(self.ids) > self.kept:
+            self.ids, self.scores = {}, {}
+        parts = list(map(self.stretches, texts))
+        new = list(set().union(*parts).difference(self.ids))
+        self._learn(new)
+        found = [(np.frombuffer(b"".join(map(self.ids.__getitem__, p)), "<i4"),
+                  sum(map(self.scores.__getitem__, p))) for p in parts]  # sums are exact, see SCORE_STEPS
+        for part in new:
+            if len(part) > KEPT_CHARS:
+                del self.ids[part], self.scores[part]
+        return found
 
 
 def encode_pieces(docs: DataFrame, model_path: str, *, with_ids: bool = True) -> DataFrame:
@@ -232,8 +308,8 @@ def encode_pieces(docs: DataFrame, model_path: str, *, with_ids: bool = True) ->
             ids_of, texts = batch.column(0).to_pylist(), texts_of(batch, "text")
             for at in range(0, len(texts), 500):
                 rows = []
-                for doc_id, text in zip(ids_of[at:at + 500], texts[at:at + 500]):
-                    ids, score = encoder.encode(text)
+                part = texts[at:at + 500]
+                for doc_id, text, (ids, score) in zip(ids_of[at:at + 500], part, encoder.encode(part)):
                     rows.append((doc_id, len(ids), int(is_byte[ids].sum()), crc(ids), score,
                                  vocabulary.decode(ids) == text, ids))
                 columns = list(zip(*rows))
