@@ -314,7 +314,7 @@ ORACLES["quarantine_counts"] = " UNION ALL ".join(
 ORACLES["batch_counts"] = " UNION ALL ".join(
     f"SELECT '{n}' AS entity, count(*) AS input_rows, count(*) - count(rejection_reason) AS "
     f"valid_rows, count(rejection_reason) AS rejected_rows FROM {{chk_{n}}}"
-    for n in ("customer", "order", "order_item", "payment", "delivery"))
+    for n in _KEYS)
 
 # --- sources ---------------------------------------------------------------
 
@@ -710,6 +710,10 @@ _COLUMNS = {
                     "hash_diff source_updated_at batch_id",
     "dim_driver": "driver_key driver_id driver_name phone number_plate driver_status valid_from "
                   "is_current hash_diff source_updated_at batch_id",
+    "dim_restaurant": "restaurant_key restaurant_id restaurant_name category city status valid_from "
+                      "is_current hash_diff source_updated_at batch_id",
+    "dim_menu_item": "menu_item_key menu_item_id restaurant_id menu_item_name category base_price "
+                     "available valid_from is_current hash_diff source_updated_at batch_id",
     "fact_order": "order_key order_id customer_key restaurant_key delivery_address order_date_key "
                   "order_status subtotal discount delivery_fee total_amount ordered_at "
                   "source_updated_at batch_id",
@@ -726,9 +730,10 @@ ORACLES["ck_not_null"] = all_of(
     for t, columns in _COLUMNS.items() for c in columns.split())
 ORACLES["ck_unique"] = all_of(
     [count_groups(f"{t} primary key", _WAREHOUSE[t], f"{e}_key", where=f"{e}_key IS NOT NULL")
-     for t, e in (("dim_customer", "customer"), ("dim_driver", "driver"), ("fact_order", "order"))]
+     for t, e in [*_IDS.items(), ("fact_order", "order")]]
     + [count_groups(f"{t} version", _WAREHOUSE[t], f"{e}_id, valid_from")
-       for t, e in (("dim_customer", "customer"), ("dim_driver", "driver"))]
+       for t, e in _IDS.items()]
+    + [count_groups("etl_batch batch_id", "batches", "batch_id")]
     + [count_groups(f"{t} source id", _WAREHOUSE[t], k) for t, k in (
         ("fact_order", "order_id"), ("fact_order_item", "order_item_id"),
         ("fact_payment", "payment_id"), ("fact_delivery_attempt", "delivery_id"))])
@@ -801,17 +806,20 @@ ORACLES["ck_not_blank"] = all_of(
                  ("drivers", "number_plate"), ("orders", "delivery_address")))
 _LIMITS = {"full_name": 255, "email": 255, "phone": 100, "city": 100, "restaurant_name": 255,
            "category": 100, "address": 255, "status": 50, "driver_name": 255, "number_plate": 50,
-           "driver_status": 50, "delivery_address": 500, "order_status": 50, "batch_id": 36}
+           "driver_status": 50, "delivery_address": 500, "order_status": 50, "batch_id": 36,
+           "menu_item_id": 50, "menu_item_name": 255, "payment_status": 50, "delivery_status": 50}
 _TEXTS = {"dim_customer": "full_name email phone city batch_id",
           "dim_driver": "driver_name phone number_plate driver_status batch_id",
           "dim_restaurant": "restaurant_name category city address status batch_id",
-          "fact_order": "delivery_address order_status batch_id"}
+          "dim_menu_item": "menu_item_id menu_item_name category batch_id",
+          "fact_order": "delivery_address order_status batch_id", "fact_order_item": "batch_id",
+          "fact_payment": "payment_status batch_id", "fact_delivery_attempt": "delivery_status batch_id"}
 ORACLES["ck_lengths"] = all_of(
     [count_where(f"{t}.{c} length", _WAREHOUSE[t],
                  f"length({c}) * {12 if c == 'city' else 1} > {_LIMITS[c]}")
      for t, columns in _TEXTS.items() for c in columns.split()]
     + [count_where(f"{t}.hash_diff length", _WAREHOUSE[t], "length(hash_diff) <> 64")
-       for t in ("dim_customer", "dim_driver", "dim_restaurant")])
+       for t in _IDS])
 
 
 # Decimal columns of each result. Both sides hand them over as doubles, which

@@ -348,7 +348,7 @@ def batch_counts(spark, d):
         rules.row_counts(_checked(spark, d, n)).select(
             F.lit(n).alias("entity"), "input_rows", "valid_rows", "rejected_rows"
         )
-        for n in ("customer", "order", "order_item", "payment", "delivery")
+        for n in jobs.SOURCE_OF
     ]
     return reduce(DataFrame.unionByName, counted)
 
@@ -734,12 +734,12 @@ def staging_empty(spark, d):
 
 @query
 def ck_not_null(spark, d):
-    return W.not_null(_tables(spark, d, "dim_customer", "dim_driver", *_FACTS))
+    return W.not_null(_tables(spark, d, *_DIMENSIONS, *_FACTS))
 
 
 @query
 def ck_unique(spark, d):
-    return W.unique(_tables(spark, d, "dim_customer", "dim_driver", *_FACTS))
+    return W.unique(_tables(spark, d, *_DIMENSIONS, *_FACTS) | {"etl_batch": _batches(spark, d)})
 
 
 @query
@@ -793,8 +793,7 @@ def ck_not_blank(spark, d):
 def ck_lengths(spark, d):
     long_names = {
         t: df.withColumn("city", F.repeat("city", 12)) if "city" in df.columns else df
-        for t, df in _tables(spark, d, "dim_customer", "dim_driver", "dim_restaurant",
-                             "fact_order").items()
+        for t, df in _tables(spark, d, *_DIMENSIONS, *_FACTS).items()
     }
     return W.lengths(long_names)
 
