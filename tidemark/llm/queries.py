@@ -89,8 +89,42 @@ QUERIES = {
 }
 
 
+def _link_trust_sql(steps: int = 57) -> str:
+    """The walks of ``op1_link_trust``, unrolled to the most steps that its tolerance allows."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = r"""(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
+    host = lower.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")
+    target = lower.format(r"regexp_replace(regexp_replace(t, '^.*@', ''), ':[0-9]*$', '')")
+    rules = [("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/")]
+    fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", v, h + p) for v, h, p in rules]
+    case = lambda at: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[at]}'" for f in fits) + " END"
+    walk = [f"""s{n} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (
+        SELECT e.kind, e.b AS host, s.score * e.share AS score FROM s{n - 1} s JOIN e ON e.kind = s.kind AND e.a = s.host
+        UNION ALL SELECT * FROM s0) GROUP BY 1, 2)""" for n in range(1, steps + 1)]
+    return f"""
+        WITH u AS (SELECT page_id, html, coalesce({host}, '') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT *, {case(1)} AS ruled, {case(2)} AS rule FROM u),
+        k AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust,
+              avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust FROM r WHERE host <> '' GROUP BY 1),
+        l AS (SELECT host AS src, {target} AS dst FROM (
+              SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS t FROM r WHERE host <> '')),
+        g AS (SELECT src, dst, count(*) AS n FROM l WHERE dst <> '' AND src <> dst GROUP BY 1, 2),
+        d AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM g UNION ALL SELECT 'distrust', dst, src, n FROM g),
+        e AS MATERIALIZED (SELECT kind, a, b, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY kind, a) AS share FROM d),
+        s0 AS MATERIALIZED (SELECT 'trust' AS kind, host, (1 - 0.85::DOUBLE) * trust AS score FROM k WHERE trust > 0
+               UNION ALL SELECT 'distrust', host, (1 - 0.85::DOUBLE) * distrust FROM k WHERE distrust > 0),
+        {", ".join(walk)},
+        h AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust,
+              coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM s{steps} GROUP BY 1)
+        SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce(trust, 0.0::DOUBLE) AS trust, coalesce(distrust, 0.0::DOUBLE) AS distrust
+        FROM r LEFT JOIN h ON h.host = r.host"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 STATEMENTS = {
+    "op1_link_trust": _link_trust_sql(),
     "op7_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
