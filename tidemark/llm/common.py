@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,12 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def each_text(batch: pa.RecordBatch, name: str, at_once: int = 256) -> Iterator[str]:
+    """The texts of :func:`texts_of`, a few of them in memory at a time."""
+    for at in range(0, batch.num_rows, at_once):
+        yield from texts_of(batch.slice(at, at_once), name)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Bytes of an integer array, grouped by significance and compressed."""
     raw = np.ascontiguousarray(values)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import each_text
 
 #: Words are runs of ASCII letters and digits and of anything outside ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -206,7 +206,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, *, window: int = 13,
         known = automaton.value
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text")):
+            for doc_id, text in zip(batch.column(0).to_pylist(), each_text(batch, "text")):
                 words = words_of(text)
                 hit, met = known.match(words)
                 ids = sorted({i for n in met if (i := known.items[n]) is not None})

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_words, new_folder, pack, remove, row_key, texts_of, unpack, written
+from tidemark.llm.common import each_text, lower_words, new_folder, pack, remove, row_key, unpack, written
 from tidemark.llm.components import connected
 from tidemark.llm.simhash import fingerprint, linked, shingle_hashes
 
@@ -34,7 +34,7 @@ def shape_rows(docs: DataFrame, words: int) -> DataFrame:
     def stream(batches):
         for batch in batches:
             content, fps, sizes, least = [], [], [], []
-            for text in texts_of(batch, "text"):
+            for text in each_text(batch, "text"):
                 of_text = lower_words(text)
                 hashes = shingle_hashes(of_text, words)
                 distinct = np.unique(hashes)
@@ -93,7 +93,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
     """The ``pairs`` whose shingle sets are similar; ``texts`` (content, text) holds the texts of their contents."""
     def sets(batches):
         for batch in batches:
-            of_text = [np.unique(shingle_hashes(lower_words(t), words)) for t in texts_of(batch, "text")]
+            of_text = [np.unique(shingle_hashes(lower_words(t), words)) for t in each_text(batch, "text")]
             deltas = [pack(np.diff(s, prepend=np.uint64(0))) for s in of_text]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(list(map(len, of_text)), pa.int32()),
                                               pa.array(deltas, pa.binary())], names=["content", "n", "deltas"])

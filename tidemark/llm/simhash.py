@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_words, new_folder, remove, texts_of, written
+from tidemark.llm.common import each_text, lower_words, new_folder, remove, written
 from tidemark.llm.components import connected
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed number."""
     def stream(batches):
         for batch in batches:
-            found = [fingerprint(shingle_hashes(lower_words(t), words)) for t in texts_of(batch, "text")]
+            found = [fingerprint(shingle_hashes(lower_words(t), words)) for t in each_text(batch, "text")]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
