@@ -31,6 +31,7 @@ from tidemark.llm.common import (
     SPLIT_BETWEEN_WORDS,
     crc,
     file_system,
+    kept_by_worker,
     new_folder,
     remove,
     texts_of,
@@ -61,8 +62,6 @@ class PieceCache:
     from task to task.
     """
 
-    _of_worker: dict[tuple, PieceCache] = {}
-
     def __init__(self, path: str, end_id: int, kept: int):
         from tokenizers import Tokenizer
 
@@ -77,9 +76,7 @@ class PieceCache:
     @classmethod
     def of_worker(cls, *arguments) -> PieceCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        if arguments not in cls._of_worker:
-            cls._of_worker[arguments] = cls(*arguments)
-        return cls._of_worker[arguments]
+        return kept_by_worker((cls, arguments), lambda: cls(*arguments))
 
     def cut(self, text: str) -> list[str]:
         if self.added.search(text):

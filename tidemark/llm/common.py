@@ -6,10 +6,11 @@ folder that the cluster names as shared by driver and executors.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,29 @@ def remove(spark: SparkSession, *folders: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: What a worker keeps from task to task, for one operator at a time.
+_KEPT: dict[object, object] = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """The worker's object for ``key``; another operator's is dropped, so that caches do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def drop_kept() -> None:
+    """Free what another operator left in this worker."""
+    _KEPT.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def file_system(folder: str):
     """Arrow's file system and path for a shared folder, for use inside tasks."""
     from pyarrow import fs

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import each_text, lower_words, pack, unpack
+from tidemark.llm.common import drop_kept, each_text, lower_words, pack, unpack
 
 BLOCKS = "block string, n_tokens bigint, payload binary"
 QUESTIONS = "shard int, block string, words int, word_keys binary, word_counts binary, pairs int, pair_keys binary, pair_counts binary"
@@ -141,6 +141,7 @@ def token_blocks(docs: DataFrame, keep: list[str], train: str | None = None) ->
     columns = [*keep, train] if train else keep
 
     def blocks(batches) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         vocabulary: dict[bytes, int] = {}
         rows, trains, lengths, tokens, size = [], [], [], [], 0
 
@@ -193,10 +194,10 @@ def shard_count(docs: DataFrame) -> int:
 class _Cut:
     """Keys in the order of (shard, key), and the bounds of the shards."""
 
-    def __init__(self, keys: np.ndarray, shards: int):
+    def __init__(self, keys: np.ndarray, shards: int, cut: int = 0):
         shard = (keys % np.uint64(shards)).astype(np.int64)
         self.order = np.lexsort((keys, shard))
-        self.keys = keys[self.order]
+        self.keys = keys[self.order] >> np.uint64(cut)
         self.bounds = np.searchsorted(shard[self.order], np.arange(shards + 1))
 
     def blob(self, shard: int, column: np.ndarray) -> bytes:
@@ -210,10 +211,11 @@ class _Cut:
         return int(self.bounds[shard + 1] - self.bounds[shard])
 
 
-def questions(blocks: DataFrame, shards: int, among=None) -> DataFrame:
+def questions(blocks: DataFrame, shards: int, among=None, cut: int = 0) -> DataFrame:
     """Each block's distinct keys by shard, with their counts in its training documents.
 
-    With ``among``, a broadcast :class:`KeyFilter`, only pairs that it may have are asked about.
+    With ``among``, a broadcast :class:`KeyFilter`, only keys that it may have are asked about. ``cut``
+    low bits of the keys are left out (the shard is chosen by the whole key).
     """
     def ask(batches):
         for batch in batches:
@@ -221,11 +223,11 @@ def questions(blocks: DataFrame, shards: int, among=None) -> DataFrame:
                 block = Block(payload.as_py())
                 distinct, place, at = block.pairs()
                 pair_keys = block.pair_keys(distinct)
-                asked = among.value.may_have(pair_keys) if among else np.ones(len(pair_keys), bool)
-                words, pairs = _Cut(block.hashes, shards), _Cut(pair_keys[asked], shards)
+                asked, named = (among.value.may_have(k) if among else np.ones(len(k), bool) for k in (pair_keys, block.hashes))
+                words, pairs = _Cut(block.hashes[named], shards, cut), _Cut(pair_keys[asked], shards, cut)
                 n_words = np.bincount(block.tokens[block.train_tokens], minlength=len(block.hashes))
                 n_pairs = np.bincount(place[block.train_tokens[at]], minlength=len(distinct))
-                n_words = n_words.astype(np.uint32)[words.order]
+                n_words = n_words.astype(np.uint32)[named][words.order]
                 n_pairs = n_pairs.astype(np.uint32)[asked][pairs.order]
                 for s in range(shards):
                     yield pa.RecordBatch.from_arrays([

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc, texts_of
+from tidemark.llm.common import crc, kept_by_worker, texts_of
 
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -238,9 +238,7 @@ def zipf_scores(ranks: list[float]) -> list[float]:
 class PieceEncoder:
     """Segments whole texts; each distinct stretch is solved once and kept by the worker."""
 
-    _of_worker: tuple = (None, None)
-
-    def __init__(self, pieces: Pieces, kept: int = 1_000_000):
+    def __init__(self, pieces: Pieces, kept: int = 600_000):
         self.pieces, self.kept = pieces, kept
         self.ids: dict[str, bytes] = {}
         self.scores: dict[str, float] = {}
@@ -248,9 +246,7 @@ class PieceEncoder:
     @classmethod
     def of_worker(cls, broadcast) -> PieceEncoder:
         pieces = broadcast.value
-        if cls._of_worker[0] is not pieces:
-            cls._of_worker = pieces, cls(pieces)
-        return cls._of_worker[1]
+        return kept_by_worker((cls, id(pieces)), lambda: cls(pieces))
 
     @staticmethod
     def stretches(text: str) -> list[str]:
