@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm import near_copies
 from tidemark.llm.near_copies import drop_near_copies
 
 
@@ -54,6 +55,40 @@ def test_one_row_of_each_class_stays(spark, documents, prose):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def classes_of(texts):
+    """The least index of each class, by all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                a_root, b_root = sorted((find(i), find(j)))
+                root[b_root] = a_root
+    return {find(i) for i in range(len(texts))}
+
+
+def test_versions_of_versions_are_one_class(spark, documents, prose, monkeypatch):
+    rng = random.Random(8)
+    chain, copies, base = [prose(700, 250, 6000)], [prose(701, 250, 6000)], prose(702, 250, 6000)
+    while len(chain) < 150:
+        chain.append(changed(rng, chain[-1], 0.015))
+        copies.append(changed(rng, rng.choice(copies[-12:]), 0.015))
+    texts = chain + copies + [changed(rng, base, rng.choice((0.008, 0.012))) for _ in range(150)]  # the base itself is absent
+    want = classes_of(texts)
+    assert len(want) < 10
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = documents(*[texts[i] for i in order], ids=order).repartition(3)
+    for size in (1_000, 40):  # one block a key, and many
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", size, raising=False)
+        assert {r.doc_id for r in drop_near_copies(docs).collect()} == want
+
+
 def test_repeated_rows_and_odd_columns(spark, documents):
     docs = documents("a b c d e f", "a b c d e f", None, "x y", ids=[7, 7, None, None])
     docs = docs.withColumn("content", F.lit(1)).withColumn("h", F.lit("t")).withColumn("fp", F.lit(None).cast("string"))

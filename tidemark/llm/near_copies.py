@@ -2,10 +2,11 @@
 
 Candidates come from SimHash fingerprints linked through vantage-point trees (see :mod:`simhash`) and, because a
 64-bit fingerprint within 3 bits misses most pairs that share only four fifths of their shingles, from the
-least shingle hashes of each document: documents that share one of them are led to the most central document among
-them, and to those of two finer random divisions. So each key gives a document three partners at most, however
-many share it. Every candidate pair is then checked exactly on whole shingle sets, and classes are the connected components of
-the pairs that hold.
+least shingle hashes of each document. First, documents that share one of them are led to the most central document among
+them, and to those of two finer random divisions. That joins most of a group through few pairs, but not versions that are unlike
+each hub; so then all documents that share a hash and are still in different classes are compared, in blocks of bounded
+size: first each with the likest one, then all pairs that are left. Every candidate pair is checked exactly on whole
+shingle sets, and classes are the connected components of the pairs that hold.
 
 Edge cases: texts are compared as words without case; equal word sequences are one class; so are all texts without
 words, null included; fewer words than a shingle are one shingle; rows equal in id and text count as
@@ -26,6 +27,8 @@ from tidemark.llm.simhash import fingerprint, linked, shingle_hashes
 
 #: Least hashes kept of each document; of those of a pair this share must be common before it is checked.
 LEAST_HASHES, COMMON_SHARE = 16, 0.375
+#: Members of a key that are compared with as many others at once, and rows of such blocks that a task takes together.
+BLOCK_ROWS, CELL_ROWS = 1_000, 8_000
 ROWS = "key bigint, doc_id bigint, content bigint, fp bigint, size int, least array<bigint>"
 
 
@@ -60,13 +63,17 @@ def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(near)
 
 
-def shared_hash_pairs(classes: DataFrame, folder: str) -> DataFrame:
-    """Candidate pairs of each content with the most central ones among those that share a least hash."""
+def shared_hashes(classes: DataFrame, folder: str) -> DataFrame:
+    """(content, h, central) of the least hashes that contents share."""
     keyed = classes.select("content", F.explode("least").alias("h"))
     shared = keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     keyed = written(keyed.join(shared, "h"), f"{folder}/keyed")
     central = keyed.groupBy("content").agg(F.sum(F.log("n")).alias("central"))
-    keyed = written(keyed.join(central, "content").select("content", "h", "central"), f"{folder}/central")
+    return written(keyed.join(central, "content").select("content", "h", "central"), f"{folder}/central")
+
+
+def hub_pairs(keyed: DataFrame) -> DataFrame:
+    """Candidate pairs of each content with the most central ones among those that share a least hash."""
     out = None
     for divisions in (1, 2, 8):
         part = F.pmod(F.xxhash64("content", "h"), F.lit(divisions)).alias("part")
@@ -77,6 +84,85 @@ def shared_hash_pairs(classes: DataFrame, folder: str) -> DataFrame:
     return out
 
 
+def enough_hashes(keyed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The contents of ``keyed`` with so many of its hashes that :func:`likely` can hold for one of their pairs."""
+    counts = keyed.groupBy("content").agg(F.count("*").alias("n"))
+    sizes = classes.select("content", F.size("least").alias("all"))
+    # the other content of a pair has at least ``similarity`` times as many least hashes
+    return counts.join(sizes, "content").where(F.col("n") >= COMMON_SHARE * similarity * F.col("all")).select("content")
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def pairs_of_cell(cell: pa.Table, similarity: float, likest: bool) -> pa.Table:
+    """Likely pairs (a, b) of different roots in the blocks of a cell: of each block's asking rows with its others.
+
+    A pair is left to the block of the least hash that both have; with ``likest`` each asking row gives one pair a block."""
+    h, by, to, content, root, size = (cell.column(c).to_numpy() for c in ("h", "by", "to", "content", "root", "size"))
+    asks, lone = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "lone"))
+    lists = pa.concat_arrays(cell.column("least").chunks) if len(cell) else pa.array([], pa.list_(pa.int64()))
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    lengths = np.diff(at)
+    order = np.lexsort((to, by, h))
+    new = (np.diff(h[order]) != 0) | (np.diff(by[order]) != 0) | (np.diff(to[order]) != 0)
+    out = []
+    for block in np.split(order, np.flatnonzero(new) + 1):
+        asking, others = block[asks[block]], block[~asks[block]]
+        if not len(asking) or not len(others):
+            continue
+        hashes = flat[ranges(at[others], lengths[others])]
+        by_hash = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[by_hash], np.repeat(np.arange(len(others)), lengths[others])[by_hash]
+        for part in np.split(asking, range(64, len(asking), 64)):
+            asked = flat[ranges(at[part], lengths[part])]
+            low = np.searchsorted(hashes, asked)
+            found = np.searchsorted(hashes, asked, "right") - low
+            place = np.repeat(np.repeat(np.arange(len(part)), lengths[part]), found) * len(others) + owner[ranges(low, found)]
+            earlier = np.repeat(asked < h[block[0]], found)
+            shape = len(part), len(others)
+            common = np.bincount(place, minlength=shape[0] * shape[1]).reshape(shape)
+            good = np.bincount(place[earlier], minlength=shape[0] * shape[1]).reshape(shape) == 0
+            good &= common >= COMMON_SHARE * np.minimum.outer(lengths[part], lengths[others])
+            good &= np.minimum.outer(size[part], size[others]) >= similarity * np.maximum.outer(size[part], size[others])
+            good &= root[part][:, None] != root[others][None, :]
+            if likest:
+                a = np.flatnonzero(good.any(1))
+                b = np.where(good, common, -1)[a].argmax(1)
+            else:  # two lone rows ask each other
+                a, b = np.nonzero(good & ~(lone[others][None, :] & (content[part][:, None] < content[others][None, :])))
+            out.append((content[part[a]], content[others[b]]))
+    a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in out)]) for i in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def open_pairs(keyed: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, likest: bool, folder: str) -> DataFrame:
+    """Candidate pairs of contents that share a least hash and have different ``roots`` (content, root).
+
+    Of a key, the members of the root that most have need not meet each other: the lone others ask all
+    members, in blocks of both."""
+    rooted = keyed.select("content", "h").join(roots, "content")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    rooted = written(rooted.join(mixed, "h"), f"{folder}/mixed")
+    rooted = rooted.join(enough_hashes(rooted, classes, similarity), "content", "left_semi")
+    of_key = rooted.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    parts = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    of_key = of_key.select("h", "main", parts(F.col("n") - F.col("most")).alias("asking"), parts(F.col("n")).alias("asked"))
+    rows = rooted.join(of_key, "h").join(classes.select("content", "size", "least"), "content")
+    rows = written(rows.withColumn("lone", F.col("root") != F.col("main")), f"{folder}/open")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("content"), F.col(n)).cast("int")
+    sent = rows.withColumn("asks", F.lit(False)).withColumn("to", one_of("asked")).withColumn("by", all_of("asking")).unionByName(
+        rows.where("lone").withColumn("asks", F.lit(True)).withColumn("by", one_of("asking")).withColumn("to", all_of("asked")))
+    copies = rows.agg(F.sum(F.col("asking") + F.when(F.col("lone"), F.col("asked")).otherwise(0)).alias("n")).first().n or 0
+    cells = max(1, -(-copies // CELL_ROWS))
+    sent = sent.select(F.pmod(F.xxhash64("h", "by", "to"), F.lit(cells)).alias("cell"), "h", "by", "to", "asks", "lone", "content", "root", "size", "least")
+    return sent.groupBy("cell").applyInArrow(lambda cell: pairs_of_cell(cell, similarity, likest), "a bigint, b bigint")
+
+
 def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs whose sizes and least hashes allow the similarity."""
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -124,13 +210,33 @@ def near_copy_rows(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "content", "key"))
     classes = written(shapes.groupBy("content").agg(
         first.alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("least").alias("least")), f"{folder}/classes")
-    pairs = fingerprint_pairs(classes, radius).unionByName(shared_hash_pairs(classes, folder))
-    pairs = written(likely(pairs, classes, similarity), f"{folder}/pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    wanted = met.join(classes, "content").select("content", F.col("first.key").alias("key"))
+    keyed = shared_hashes(classes, folder)
+    wanted = enough_hashes(keyed, classes, similarity).join(classes, "content").select("content", F.col("first.key").alias("key"))
     texts = written(rows.select("key", "text").join(wanted, "key").select("content", "text").dropDuplicates(["content"]), f"{folder}/texts")
-    roots = connected(similar_pairs(pairs, texts, words, similarity))
-    rooted = classes.join(roots, classes.content == roots.node, "left").select("first", F.coalesce("root", "content").alias("root"))
+
+    def candidates(pairs: DataFrame, step: str) -> DataFrame:
+        return written(likely(pairs, classes, similarity), f"{folder}/pairs-{step}")
+
+    def holding(pairs: DataFrame, step: str) -> DataFrame:
+        met = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+        of_pairs = texts.join(met, "content", "left_semi")
+        return written(similar_pairs(pairs, of_pairs, words, similarity), f"{folder}/links-{step}")
+
+    def with_roots(links: DataFrame, step: str) -> DataFrame:
+        roots = connected(links)
+        rooted = classes.join(roots, classes.content == roots.node, "left")
+        return written(rooted.select("content", "first", F.coalesce("root", "content").alias("root")), f"{folder}/roots-{step}")
+
+    pairs = candidates(fingerprint_pairs(classes, radius).unionByName(hub_pairs(keyed)), "hubs")
+    links = holding(pairs, "hubs")
+    rooted = with_roots(links, "hubs")
+    for step in ("likest", "all"):
+        found = open_pairs(keyed, classes, rooted.select("content", "root"), similarity, step == "likest", f"{folder}/{step}")
+        pairs = candidates(found, step)
+        if pairs.isEmpty():  # without a likest one there is no other
+            break
+        links = links.unionByName(holding(pairs, step))
+        rooted = with_roots(links, step)
     winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     counts = shapes.groupBy("key").agg(F.count("*").alias("rows"))
     result = written(winners.join(counts, "key"), new_folder(spark, "near-copy-rows"))
