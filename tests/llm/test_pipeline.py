@@ -89,6 +89,21 @@ def test_versions_of_versions_are_one_class(spark, documents, prose, monkeypatch
         assert {r.doc_id for r in drop_near_copies(docs).collect()} == want
 
 
+def test_fingerprint_pairs_are_neighbours(spark):
+    """B and C are near, and so are A and B, but A and C are not; D has the fingerprint of B."""
+    rows = [(1, 0b0, 9, 1), (2, 0b111, 10, 2), (3, 0b111111, 10, 3), (4, 0b111, 10, 4), (5, 0b111, 40, 5), (6, 0b111, 10, 2)]
+    rooted = spark.createDataFrame(rows, "content bigint, fp bigint, size int, root bigint")
+    got = sorted(tuple(sorted(r)) for r in near_copies.fingerprint_pairs(rooted, 3, 0.8).collect())
+    assert got == [(1, 2), (1, 4), (1, 6), (2, 3), (2, 4), (3, 4), (3, 6), (4, 6)]
+
+
+def test_neighbours_need_no_common_least_hash(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(near_copies, "COMMON_SHARE", 2.0)  # no pair is likely
+    text = prose(5, 4000, 6000)
+    docs = documents(text, text + " end", prose(6, 4000, 6000), "start " + text, None)
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [0, 2, 4]
+
+
 def test_repeated_rows_and_odd_columns(spark, documents):
     docs = documents("a b c d e f", "a b c d e f", None, "x y", ids=[7, 7, None, None])
     docs = docs.withColumn("content", F.lit(1)).withColumn("h", F.lit("t")).withColumn("fp", F.lit(None).cast("string"))

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from tidemark.llm.components import connected
-from tidemark.llm.simhash import fit_tree, link_locally, near_duplicates, route
+from tidemark.llm.simhash import fit_tree, link_locally, near_duplicates, neighbours, route
 
 
 def brute_fingerprint(text, n=3):
@@ -63,6 +63,19 @@ def test_every_close_pair_meets_in_a_shard():
                 assert any(a in leaf and b in leaf for leaf in leaves)
 
 
+def test_neighbours_are_all_close_pairs_of_different_classes(spark):
+    rng = random.Random(3)
+    points = [int(p) for p in noisy(rng, 1200, 6).view(np.int64)]
+    low = [rng.randrange(3) for _ in points]
+    high = [x if rng.random() < 0.8 else 3 for x in low]
+    rows = spark.createDataFrame(list(zip(points, low, high)), "fp bigint, low bigint, high bigint")
+    got = [tuple(r) for r in neighbours(rows.repartition(3), 3).collect()]
+    close = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3
+    want = {(max(a, b), min(a, b)) for i, a in enumerate(points) for j, b in enumerate(points[:i + 1])
+            if close(a, b) and min(low[i], low[j]) != max(high[i], high[j])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)] + [(5, 5)]

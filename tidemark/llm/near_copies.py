@@ -1,11 +1,12 @@
 """Near-duplicate classes of documents: word shingles that are similar to a given degree.
 
-Candidates come from SimHash fingerprints linked through vantage-point trees (see :mod:`simhash`) and, because a
+Candidates are the neighbours of SimHash fingerprints, found through vantage-point trees (see :mod:`simhash`), and, because a
 64-bit fingerprint within 3 bits misses most pairs that share only four fifths of their shingles, from the
 least shingle hashes of each document. First, documents that share one of them are led to the most central document among
 them, and to those of two finer random divisions. That joins most of a group through few pairs, but not versions that are unlike
 each hub; so then all documents that share a hash and are still in different classes are compared, in blocks of bounded
-size: first each with the likest one, then all pairs that are left. Every candidate pair is checked exactly on whole
+size: first each with the likest one, then all pairs that are left. Last come all pairs of neighbours by fingerprint that are
+still in different classes, whatever their least hashes. Every candidate pair is checked exactly on whole
 shingle sets, and classes are the connected components of the pairs that hold.
 
 Edge cases: texts are compared as words without case; equal word sequences are one class; so are all texts without
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import each_text, lower_words, new_folder, pack, remove, row_key, unpack, written
 from tidemark.llm.components import connected
-from tidemark.llm.simhash import fingerprint, linked, shingle_hashes
+from tidemark.llm.simhash import fingerprint, neighbours, shingle_hashes
 
 #: Least hashes kept of each document; of those of a pair this share must be common before it is checked.
 LEAST_HASHES, COMMON_SHARE = 16, 0.375
@@ -53,14 +54,17 @@ def shape_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("key", "doc_id", "text").mapInArrow(stream, ROWS)
 
 
-def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
-    """Candidate pairs of contents whose fingerprints are linked, through one content of each fingerprint."""
-    named = classes.groupBy("fp").agg(F.min("content").alias("name"))
-    links = linked(named.select("fp"), radius)
-    same = classes.join(named, "fp").select(F.col("content").alias("a"), F.col("name").alias("b"))
-    left, right = (named.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab")
-    near = links.join(left, "a").join(right, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-    return same.unionByName(near)
+def fingerprint_pairs(rooted: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """All pairs of contents of ``rooted`` (content, fp, size, root) with fingerprints within ``radius`` bits, different
+    roots and sizes that allow the similarity."""
+    of_fp = rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    pairs = neighbours(of_fp, radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    left, right = (rooted.select(F.col("fp").alias(f"fp_{c}"), F.col("content").alias(c), F.col("root").alias(f"root_{c}"),
+                                 F.col("size").alias(f"size_{c}")) for c in "ab")
+    sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
+    pairs = pairs.join(left, "fp_a").join(right, "fp_b")
+    once = (F.col("fp_a") != F.col("fp_b")) | (F.col("a") > F.col("b"))
+    return pairs.where(once & (F.col("root_a") != F.col("root_b")) & sizes).select("a", "b")
 
 
 def shared_hashes(classes: DataFrame, folder: str) -> DataFrame:
@@ -211,13 +215,17 @@ def near_copy_rows(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     classes = written(shapes.groupBy("content").agg(
         first.alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("least").alias("least")), f"{folder}/classes")
     keyed = shared_hashes(classes, folder)
-    wanted = enough_hashes(keyed, classes, similarity).join(classes, "content").select("content", F.col("first.key").alias("key"))
-    texts = written(rows.select("key", "text").join(wanted, "key").select("content", "text").dropDuplicates(["content"]), f"{folder}/texts")
+
+    def texts_of_contents(contents: DataFrame) -> DataFrame:
+        wanted = contents.join(classes, "content").select("content", F.col("first.key").alias("key"))
+        return rows.select("key", "text").join(wanted, "key").select("content", "text").dropDuplicates(["content"])
+
+    texts = written(texts_of_contents(enough_hashes(keyed, classes, similarity)), f"{folder}/texts")
 
     def candidates(pairs: DataFrame, step: str) -> DataFrame:
         return written(likely(pairs, classes, similarity), f"{folder}/pairs-{step}")
 
-    def holding(pairs: DataFrame, step: str) -> DataFrame:
+    def holding(pairs: DataFrame, step: str, texts: DataFrame) -> DataFrame:
         met = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
         of_pairs = texts.join(met, "content", "left_semi")
         return written(similar_pairs(pairs, of_pairs, words, similarity), f"{folder}/links-{step}")
@@ -227,16 +235,23 @@ def near_copy_rows(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         rooted = classes.join(roots, classes.content == roots.node, "left")
         return written(rooted.select("content", "first", F.coalesce("root", "content").alias("root")), f"{folder}/roots-{step}")
 
-    pairs = candidates(fingerprint_pairs(classes, radius).unionByName(hub_pairs(keyed)), "hubs")
-    links = holding(pairs, "hubs")
+    pairs = candidates(hub_pairs(keyed), "hubs")
+    links = holding(pairs, "hubs", texts)
     rooted = with_roots(links, "hubs")
     for step in ("likest", "all"):
         found = open_pairs(keyed, classes, rooted.select("content", "root"), similarity, step == "likest", f"{folder}/{step}")
         pairs = candidates(found, step)
         if pairs.isEmpty():  # without a likest one there is no other
             break
-        links = links.unionByName(holding(pairs, step))
+        links = links.unionByName(holding(pairs, step, texts))
         rooted = with_roots(links, step)
+    shaped = classes.select("content", "fp", "size").join(rooted.select("content", "root"), "content")
+    pairs = written(fingerprint_pairs(shaped, radius, similarity), f"{folder}/pairs-neighbours")
+    if not pairs.isEmpty():
+        more = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(texts, "content", "left_anti")
+        more = written(texts_of_contents(more), f"{folder}/texts-neighbours")
+        links = links.unionByName(holding(pairs, "neighbours", texts.unionByName(more)))
+        rooted = with_roots(links, "neighbours")
     winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     counts = shapes.groupBy("key").agg(F.count("*").alias("rows"))
     result = written(winners.join(counts, "key"), new_folder(spark, "near-copy-rows"))

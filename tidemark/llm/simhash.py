@@ -158,15 +158,69 @@ def link_locally(points: np.ndarray, radius: int) -> np.ndarray:
     return forest.root
 
 
-def linked(classes: DataFrame, radius: int, *, per_shard: int = 60_000, sample: int = 65_536) -> DataFrame:
-    """Links (a, b) that join all fingerprints within ``radius`` bits; ``classes`` (fp) holds each once."""
+def close_pairs(points: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (a, b) of all points within ``radius``, itself included, but of one class (``low`` = ``high``) only."""
+    out, waiting = [(np.empty(0, np.int64),) * 2], [np.arange(len(points))]
+    while waiting:
+        own = waiting.pop()
+        if not len(own) or low[own].min() == high[own].max():
+            continue
+        here = points[own]
+        split = Split.of(here, radius) if len(own) > BLOCK else None
+        if split:
+            inner, outer = split.sides(here, radius)
+            waiting += [own[inner], own[outer]]
+            continue
+        for at in range(0, len(own), BLOCK):
+            a, b = np.nonzero(np.bitwise_count(here[at:at + BLOCK, None] ^ here[None, :]) <= radius)
+            keep = a + at <= b
+            a, b = own[a[keep] + at], own[b[keep]]
+            apart = np.minimum(low[a], low[b]) != np.maximum(high[a], high[b])
+            out.append((a[apart], b[apart]))
+    return tuple(np.concatenate(side) for side in zip(*out))
+
+
+def shard_tree(classes: DataFrame, radius: int, per_shard: int, sample: int):
+    """The broadcast upper levels for the fingerprints of ``classes``."""
     spark = classes.sparkSession
     count = classes.count()
     depth = max(5, math.ceil(math.log(max(1, count / per_shard)) / math.log(1 / 0.65)))
     depth = min(depth, int(math.log2(sample / 16)))
     some = classes.orderBy(F.xxhash64("fp"), "fp").limit(min(sample, 64 * 2**depth)).select("fp")
     points = np.array([r.fp for r in some.collect()], np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(fit_tree(points, depth, radius))
+    return spark.sparkContext.broadcast(fit_tree(points, depth, radius))
+
+
+def neighbours(classes: DataFrame, radius: int, *, per_shard: int = 60_000, sample: int = 65_536) -> DataFrame:
+    """All pairs (a, b) of fingerprints within ``radius`` bits that are not in one class.
+
+    ``classes`` (fp, low, high) holds each fingerprint once with the least and the greatest class of its members;
+    a fingerprint with members of different classes is paired with itself too."""
+    tree = shard_tree(classes, radius, per_shard, sample)
+
+    def deal(batches):
+        for batch in batches:
+            here, low, high = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            here = here.view(np.uint64)
+            order = np.argsort(here)
+            for leaf, part in route(tree.value, here, radius):
+                at = order[np.searchsorted(here, part, sorter=order)]
+                columns = np.full(len(part), leaf, np.int32), part.view(np.int64), low[at], high[at]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["leaf", "fp", "low", "high"])
+
+    def pair(shard: pa.Table) -> pa.Table:
+        fp, low, high = (shard.column(c).to_numpy() for c in ("fp", "low", "high"))
+        a, b = close_pairs(fp.view(np.uint64), low, high, radius)
+        return pa.table({"a": fp[a], "b": fp[b]})
+
+    dealt = classes.select("fp", "low", "high").mapInArrow(deal, "leaf int, fp bigint, low bigint, high bigint")
+    pairs = dealt.groupBy("leaf").applyInArrow(pair, "a bigint, b bigint")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def linked(classes: DataFrame, radius: int, *, per_shard: int = 60_000, sample: int = 65_536) -> DataFrame:
+    """Links (a, b) that join all fingerprints within ``radius`` bits; ``classes`` (fp) holds each once."""
+    tree = shard_tree(classes, radius, per_shard, sample)
 
     def deal(batches):
         for batch in batches:
