@@ -90,6 +90,18 @@ def test_graph(spark):
     assert verdict[4] == "block" and verdict[5] == "allow" and verdict[6] == "allow" and verdict[7] == "allow"
 
 
+def test_small_shares_reach_far_hosts(spark):
+    """A blocked host that very many link to; hosts six and more links behind one of them."""
+    pages = [(0, "http://spam.net/", "")] + [(i, f"http://fan{i}.com/", "<a href='//spam.net'>") for i in range(1, 2001)]
+    pages += [(3000, "http://chain0.com/", "<a href='//fan1.com'>")]
+    pages += [(3000 + i, f"http://chain{i}.com/", f"<a href='//chain{i - 1}.com'>") for i in range(1, 9)]
+    rows = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    want = {r[0]: r for r in brute(pages, RULES)}
+    for i in (0, 1, *range(3000, 3009)):
+        assert rows[i].verdict == want[i][4] == "block"
+        assert rows[i].distrust == pytest.approx(want[i][6], rel=1e-3)
+
+
 def test_no_rules_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.net/", "<a href='http://b/'>")], PAGES)
     assert filter_urls(df, rules=()).first().verdict == "allow"

@@ -11,8 +11,8 @@ without a rule is blocked where its host's distrust exceeds ``ratio`` times its
 
 One frame holds both walks, so a step is one join and one aggregate. Edges are pre-aggregated; a host with very many
 edges is a skewed side that the join can split, and sums are partial before the shuffle. Steps are written to
-the shared folder; they stop when no score moves by more than ``tolerance``, which with damping ``d`` takes at most
-``log(tolerance) / log(d)`` steps.
+the shared folder. With damping ``d`` a walk takes ``log(tolerance) / log(d)`` steps, after which all of it that is left
+is below ``tolerance`` of the seeds; it never stops earlier, because verdicts compare scores however small they are.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and is allowed unless a rule says
 otherwise (rules name hosts, so none fits); without rules everything is allowed; a null html has no links; repeated pages count as often as they
@@ -31,7 +31,7 @@ from tidemark.llm.common import new_folder, remove, written
 #: (verdict, rule); a rule is a host and the path prefix that follows it.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LINK_HOST = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
-#: Steps of a walk in one job; then the scores are written and compared.
+#: Steps of a walk in one job; then the scores are written.
 STEPS_AT_ONCE = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,18 +86,14 @@ def walks(edges: DataFrame, seeds: DataFrame, *, damping: float, tolerance: floa
     most = math.ceil(math.log(tolerance) / math.log(damping)) if not steps.isEmpty() else 0
     while step < most:
         new = score
-        for _ in range(STEPS_AT_ONCE):
+        before, at_once = step, min(STEPS_AT_ONCE, most - step)
+        for _ in range(at_once):
             sent = new.join(steps, ["kind", "host"]).select(
                 "kind", F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score"))
             new = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        step += STEPS_AT_ONCE
-        new = written(new, f"{folder}/score-{step}")
-        moved = new.join(score.withColumnRenamed("score", "old"), ["kind", "host"], "left").agg(
-            F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))).alias("m")).first().m
-        score = new
-        remove(spark, f"{folder}/score-{step - STEPS_AT_ONCE}")
-        if not moved or moved <= tolerance:
-            break
+        step += at_once
+        score = written(new, f"{folder}/score-{step}")
+        remove(spark, f"{folder}/score-{before}")
     kept = written(score, new_folder(spark, "link-trust-scores"))
     remove(spark, folder)
     return kept
