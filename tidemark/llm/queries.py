@@ -75,6 +75,25 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.positive_unlabelled import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.piece_table import fill_in_middle, restored
+
+    digests = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return restored(fill_in_middle(table(spark, sf_dir, "documents")), keep=digests, with_text=False)
+
+
+def op13_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.max_sketches import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_link_trust": op1_link_trust,
     "op2_arrow_tokens": op2_arrow_tokens,
@@ -86,6 +105,9 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_recurrent_blocks": op9_recurrent_blocks,
     "op10_learned_partitions": op10_learned_partitions,
+    "op11_positive_unlabelled": op11_positive_unlabelled,
+    "op12_piece_table": op12_piece_table,
+    "op13_max_sketches": op13_max_sketches,
 }
 
 
@@ -134,6 +156,37 @@ STATEMENTS = {
                CASE WHEN page_id IS DISTINCT FROM target THEN target END AS refers_to,
                TRUE AS complete
         FROM d LEFT JOIN t USING (payload_digest)""",
+    "op12_piece_table": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        u AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+              ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+        f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+              least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+        p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
+    "op13_max_sketches": r"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        c AS (SELECT count(DISTINCT r)::BIGINT AS documents, count(*)::BIGINT AS terms FROM w),
+        t AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM w GROUP BY r, term),
+        l AS (SELECT r, sum(tf)::BIGINT AS n FROM t GROUP BY r),
+        i AS (SELECT DISTINCT * FROM (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+        d AS (SELECT term, count(*)::BIGINT AS df FROM t WHERE term IN (SELECT term FROM i) GROUP BY term),
+        s AS (SELECT q, i.item_id, t.r, t.doc_id,
+              sum(floor(1000 * ln((2.0::DOUBLE * c.documents + 2) / (2.0::DOUBLE * df + 1)))::BIGINT
+                  * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * c.documents) // c.terms))))::BIGINT AS score
+              FROM i JOIN d USING (term) JOIN t USING (term) JOIN l USING (r), c GROUP BY 1, 2, 3, 4),
+        k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
 
 
