@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,11 +121,12 @@ class QueryBlock:
     def __init__(self, table: pa.Table):
         self.items, self.item = np.unique(table.column("item").to_numpy(), return_inverse=True)
         names = table.column("term").to_pylist()
-        self.place = {t: i for i, t in enumerate(dict.fromkeys(names))}
-        self.term = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-        self.weight = np.zeros(len(self.place), np.int64)
+        place = {t: i for i, t in enumerate(dict.fromkeys(names))}
+        self.names = pa.array(place, pa.string())
+        self.term = np.fromiter(map(place.__getitem__, names), np.int64, len(names))
+        self.weight = np.zeros(len(place), np.int64)
         self.weight[self.term] = table.column("weight").to_numpy()
-        self.hashes = np.fromiter((coordinate(t.encode("utf-8", "surrogatepass")) for t in self.place), np.int64, len(self.place))
+        self.hashes = np.fromiter((coordinate(t.encode("utf-8", "surrogatepass")) for t in place), np.int64, len(place))
         order = np.argsort(self.item, kind="stable")
         self.terms_of_item = np.split(self.term[order], np.searchsorted(self.item[order], np.arange(1, len(self.items))))
         #: For each item the best (score, doc_id) so far, best first.
@@ -151,10 +153,12 @@ class QueryBlock:
         bound = np.empty((docs.size, len(self.items)))
         for width, rows in docs.by_width():
             bound[rows] = self.bounds(docs.sketches(rows, width), docs.m[rows])
+        least = np.array([scores[-1] if len(scores) == k else 1 for scores, _ in self.best])
+        entries = docs.entries(np.flatnonzero((bound >= least).any(axis=1)), self)
         for item, terms in enumerate(self.terms_of_item):
             scores, ids = self.best[item]
-            order = np.lexsort((docs.ids, -bound[:, item]))
-            order = order[:np.count_nonzero(bound[:, item] > 0)]
+            order = np.flatnonzero(bound[:, item] >= least[item])
+            order = order[np.lexsort((docs.ids[order], -bound[order, item]))]
             step = 2 * k
             while len(order):
                 if len(scores) == k:
@@ -162,7 +166,7 @@ class QueryBlock:
                     top, ident = bound[order, item], docs.ids[order]
                     order = order[:np.count_nonzero((top > scores[-1]) | ((top == scores[-1]) & (ident < ids[-1])))]
                 some, order = order[:step], order[step:]
-                exact = docs.scores(some, terms, self)
+                exact = entries.scores(some, terms)
                 some, exact = some[exact > 0], exact[exact > 0]
                 scores, ids = np.concatenate([scores, exact]), np.concatenate([ids, docs.ids[some]])
                 ranked = np.lexsort((ids, -scores))[:k]
@@ -171,6 +175,26 @@ class QueryBlock:
             self.best[item] = scores, ids
 
 
+class Entries:
+    """What each of a block's terms adds to the score of some documents, by (document, term)."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, gain: np.ndarray, n_terms: int):
+        keys = row * n_terms + term
+        order = np.argsort(keys)
+        self.n_terms, self.keys, self.gain = n_terms, keys[order], gain[order]
+        self.size = len(keys)
+
+    def scores(self, rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Exact scores of documents for the terms of one item."""
+        out = np.zeros(len(rows), np.int64)
+        at_once = max(1, (1 << 20) // len(terms))
+        for at in range(0, len(rows) if self.size else 0, at_once):
+            wanted = rows[at:at + at_once, None] * self.n_terms + terms[None, :]
+            place = np.minimum(np.searchsorted(self.keys, wanted), self.size - 1)
+            out[at:at + at_once] = np.where(self.keys[place] == wanted, self.gain[place], 0).sum(axis=1)
+        return out
+
+
 class IndexSlice:
     """Some documents of the index; their terms are only looked at for what is rescored."""
 
@@ -180,7 +204,6 @@ class IndexSlice:
         self.m = length_norm(batch.column(1).to_numpy(), documents, terms)
         self._terms, self._tfs, self._sketch = batch.column(2), batch.column(3), batch.column(4)
         self._width = np.array([len(s.as_buffer()) for s in self._sketch], np.int64)
-        self._held: dict[int, dict[int, int]] = {}
 
     def by_width(self) -> Iterator[tuple[int, np.ndarray]]:
         for width in np.unique(self._width):
@@ -192,32 +215,14 @@ class IndexSlice:
     def sketches(self, rows: np.ndarray, width: int) -> np.ndarray:
         return np.stack([np.frombuffer(self._sketch[int(r)].as_buffer(), np.uint8) for r in rows]).reshape(len(rows), width)
 
-    def _counts(self, row: int, block: QueryBlock) -> np.ndarray:
-        """Occurrences of the block's terms in one document, by term."""
-        held = self._held.get(row)
-        if held is None:
-            place = block.place
-            names, tfs = self._terms[row].as_py(), self._tfs[row].values.to_numpy()
-            found = [(place[t], i) for i, t in enumerate(names) if t in place]
-            term, at = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            order = np.argsort(term)
-            held = self._held[row] = term[order], tfs[at[order]]
-        return held
-
-    def scores(self, rows: np.ndarray, terms: np.ndarray, block: QueryBlock) -> np.ndarray:
-        """Exact scores of documents for the terms of one item."""
-        out = np.zeros(len(rows), np.int64)
-        for i, row in enumerate(rows.tolist()):
-            held, tfs = self._counts(row, block)
-            if len(held):
-                at = np.minimum(np.searchsorted(held, terms), len(held) - 1)
-                hit = held[at] == terms
-                out[i] = int((block.weight[terms[hit]] * impact(tfs[at[hit]], self.m[row])).sum())
-        return out
-
-    def forget(self) -> None:
-        """The counts are by one block's terms."""
-        self._held = {}
+    def entries(self, rows: np.ndarray, block: QueryBlock) -> Entries:
+        """The block's terms in ``rows``; no other document's terms are looked at."""
+        names, tfs = (c.take(pa.array(rows)) for c in (self._terms, self._tfs))
+        place = pc.index_in(names.flatten(), value_set=block.names).fill_null(-1).to_numpy()
+        row = np.repeat(rows, names.value_lengths().to_numpy())
+        found = np.flatnonzero(place >= 0)
+        row, term, tf = row[found], place[found].astype(np.int64), tfs.flatten().to_numpy()[found]
+        return Entries(row, term, block.weight[term] * impact(tf, self.m[row]), len(block.names))
 
 
 def search_index(index: DataFrame, items: DataFrame, *, k: int = 10) -> DataFrame:
@@ -264,7 +269,6 @@ def search_index(index: DataFrame, items: DataFrame, *, k: int = 10) -> DataFram
                 block = kept[number] if number in kept else load(number)
                 for part in slices if block else ():
                     block.search(part, k)
-                    part.forget()
                 if number not in kept:
                     yield from rows_of(block)
         for block in kept.values():
