@@ -58,4 +58,13 @@ def fact_columns(fact: Fact) -> list[str]:
 
 
 def fact_schema(fact: Fact) -> str:
-    return ddl(fact_columns(fact)) + ", event_month int"
+    return ddl(fact_columns(fact)) + ", event_month int, bucket int"
+
+
+def index_columns(fact: Fact) -> list[str]:
+    """What finds a stored fact row again and tells whether a batch replaces it."""
+    return [fact.identifier, "source_updated_at", *fact.key_columns(), fact.key]
+
+
+def index_schema(fact: Fact) -> str:
+    return ddl(index_columns(fact)) + ", event_month int, revision bigint, bucket int"

@@ -23,14 +23,12 @@ from tidemark.operators.lookup import rows_of_keys
 from tidemark.operators.rules import rejected_rows, row_counts
 from tidemark.operators.scd2 import (
     scd2_closes,
-    scd2_existing,
     scd2_inserts,
     uniqueness_conflicts,
 )
 from tidemark.operators.seeds import (
     dim_date,
     dim_payment_method,
-    insert_if_absent,
     unknown_member,
 )
 from tidemark.operators.surrogate import assign_keys
@@ -49,6 +47,7 @@ from tidemark.plans.facts import (
     version_lookups,
 )
 from tidemark.session import cut_lineage
+from tidemark.sources.snapshots import Change, Manifest, SnapshotTable
 from tidemark.sources.warehouse import Warehouse, stage_projection
 from tidemark.sources.windows import (
     document_watermark,
@@ -134,14 +133,27 @@ def as_feed(pipeline: str, rows: DataFrame) -> Feed:
 # --- reading the warehouse -------------------------------------------------
 
 
-def read_dimension(warehouse: Warehouse, name: str) -> DataFrame:
+def read_dimension(warehouse: Warehouse, name: str, at: Manifest | None = None) -> DataFrame:
+    """All versions of one state of a dimension: the current ones and the closed ones."""
     dimension = DIMENSIONS[name]
-    return warehouse.read("warehouse", dimension.table, contracts.dimension_schema(dimension))
+    table, schema = warehouse.table(dimension.table), contracts.dimension_schema(dimension)
+    at = at or table.manifest()
+    return table.read("open", schema, at=at).unionByName(table.read("closed", schema, at=at))
 
 
 def read_fact(warehouse: Warehouse, name: str) -> DataFrame:
     fact = FACTS[name]
-    return warehouse.read("warehouse", fact.table, contracts.fact_schema(fact))
+    return warehouse.table(fact.table).read("rows", contracts.fact_schema(fact))
+
+
+def replace_dimension(warehouse: Warehouse, name: str, rows: DataFrame) -> None:
+    """Make ``rows`` the whole dimension, in one step."""
+    table = warehouse.table(DIMENSIONS[name].table)
+    base = table.manifest()
+    table.commit(base, {
+        area: Change(rows.filter(part), ["bucket"], replaced=frozenset(base.cells(area)), seen=None)
+        for area, part in (("open", F.col("is_current")), ("closed", ~F.col("is_current")))
+    })
 
 
 def read_staging(warehouse: Warehouse, name: str) -> DataFrame:
@@ -173,26 +185,27 @@ def merge_dimension(
 ) -> int:
     """Version the staged batch into the dimension; returns the versions inserted.
 
-    Only the buckets of arriving identifiers are read, and those that change
-    rewritten. A bucket holds all versions of its identifiers, so each
-    replacement is complete in itself.
+    Current versions lie apart from closed ones, both cut into buckets by identifier. Only current rows of
+    buckets that change are rewritten; versions that end are appended to the closed ones, so history
+    is never written again. Of the history only the narrow columns that tell whether an identifier had a version are
+    read, in the buckets of arriving identifiers. Both parts are published together.
     """
     warehouse.check_layout()
     name, key = dimension.entity.name, dimension.identifier
+    table, schema = warehouse.table(dimension.table), contracts.dimension_schema(dimension)
+    base, fallback = table.manifest(), warehouse.checkpoint_fallback()
     staged = _staged_batch(warehouse, name, batch_id)
-    stored = read_dimension(warehouse, name)
     if dimension.unique is not None:
-        conflicts = uniqueness_conflicts(staged, stored, key, dimension.unique())
-        if not conflicts.isEmpty():
+        held = table.read("open", schema, at=base)
+        if not uniqueness_conflicts(staged, held, key, dimension.unique()).isEmpty():
             raise RuntimeError(f"{name} batch repeats a value that must be unique")
 
-    arriving = staged.select(warehouse.bucket(key).alias("bucket")).distinct().collect()
-    stored = stored.filter(F.col("bucket").isin([row.bucket for row in arriving]))
+    arriving = [f"bucket={row.bucket}" for row in staged.select(warehouse.bucket(key).alias("bucket")).distinct().collect()]
+    current = table.read("open", schema, arriving, base)
+    versions = current.unionByName(table.read("closed", schema, arriving, base))
     inserts = cut_lineage(
-        scd2_inserts(stored, staged, key).withColumn("bucket", warehouse.bucket(key)),
-        warehouse.checkpoint_fallback(),
-    )
-    closes = scd2_closes(stored, staged, key).select("bucket")
+        scd2_inserts(versions, staged, key).withColumn("bucket", warehouse.bucket(key)), fallback)
+    closes = cut_lineage(scd2_closes(current, staged, key), fallback)
     sizes = (
         inserts.select("bucket", F.lit(1).alias("inserted"), F.lit(0).alias("closed"))
         .unionByName(closes.select("bucket", F.lit(0).alias("inserted"), F.lit(1).alias("closed")))
@@ -210,18 +223,48 @@ def merge_dimension(
     fresh = assign_keys(inserts, dimension.key, [key, "valid_from"], after=last).withColumn(
         "loaded_at", _moment(loaded_at)
     )
-    touched = stored.filter(F.col("bucket").isin([row.bucket for row in sizes]))
-    state = scd2_existing(touched, staged, key).unionByName(fresh)
-    warehouse.replace_partitions(state, dimension.table, "bucket")
+    changed = frozenset(f"bucket={row.bucket}" for row in sizes)
+    kept = table.read("open", schema, changed, base).join(closes.select(dimension.key), dimension.key, "left_anti")
+    table.commit(base, {
+        "open": Change(kept.unionByName(fresh), ["bucket"], replaced=changed,
+                       seen=None if dimension.unique is not None else frozenset(arriving)),
+        "closed": Change(closes.select(*kept.columns), ["bucket"], seen=frozenset(arriving)),
+    })
     return inserted
 
 
+# Commits after which a partition is written again as one.
+MOST_COMMITS = 8
+# Identifiers of a batch up to which they are named to the scan, for its bloom filters and page ranges.
+NAMED_IDS = 1000
+
+
+def _indexed(table: SnapshotTable, fact: Fact, resolved: DataFrame, base: Manifest) -> DataFrame:
+    """The newest index entry of each of the batch's identifiers that the fact holds.
+
+    The index is cut by identifier like the batch, so only the buckets that the batch has are read. Its files are
+    sorted by identifier and carry a bloom filter on it; a small batch names its identifiers to the scan.
+    """
+    key = fact.identifier
+    buckets = [f"bucket={row.bucket}" for row in resolved.select("bucket").distinct().collect()]
+    entries = table.read("index", contracts.index_schema(fact), buckets, base)
+    named = resolved.select(key).limit(NAMED_IDS + 1).collect()
+    if len(named) <= NAMED_IDS:
+        entries = entries.filter(F.col(key).isin([row[0] for row in named]))
+    else:
+        entries = entries.join(resolved.select(key), key, "left_semi")
+    payload = [c for c in entries.columns if c not in (key, "revision", "bucket")]
+    return entries.groupBy(key).agg(F.max_by(F.struct(*payload), "revision").alias("_entry")).select(key, "_entry.*")
+
+
 def merge_fact(warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datetime) -> int:
     """Upsert the staged batch into the fact; returns the rows written.
 
-    The fact is read once in full for the few columns that find the stored ids;
-    afterwards only the months that change are read and rewritten.
+    The fact is cut by month and by bucket of its identifier. An index, cut by the same buckets, tells in which month
+    an identifier lies, how new it is and under which keys, so the fact itself is read only where a stored row
+    goes, and only there written again; other rows are appended. Rows and index are published together.
     """
+    warehouse.check_layout()
     pipeline = next(n for n, f in FACTS.items() if f is fact)
     staged = _staged_batch(warehouse, pipeline, batch_id)
     dimensions = {n: read_dimension(warehouse, n) for n in fact.dimensions}
@@ -232,57 +275,56 @@ def merge_fact(warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datet
     if not ambiguous.isEmpty():
         raise RuntimeError(f"{pipeline} batch matches several versions of a dimension row")
 
-    fallback = warehouse.checkpoint_fallback()
-    resolved = resolve_fact(staged, fact, dimensions, dates, methods).withColumn(
-        "event_month", F.floor(F.col(fact.partition_source) / 100).cast("int")
-    )
-    resolved = cut_lineage(resolved, fallback)
-    stored = read_fact(warehouse, pipeline)
+    fallback, key = warehouse.checkpoint_fallback(), fact.identifier
+    table = warehouse.table(fact.table)
+    base = table.manifest()
+    resolved = cut_lineage(
+        resolve_fact(staged, fact, dimensions, dates, methods).withColumns({
+            "event_month": F.floor(F.col(fact.partition_source) / 100).cast("int"),
+            "bucket": warehouse.bucket(key)}), fallback)
+    stored = _indexed(table, fact, resolved, base)
     hits = cut_lineage(
-        fact_hits(stored, resolved, fact.identifier, fact.key_columns(),
-                  [fact.key, "event_month"])
-        .withColumnRenamed(fact.identifier, "_id")
-        .withColumnRenamed("event_month", "_old_month"),
-        fallback,
-    )
-    replaced = (
-        hits.groupBy("_id")
-        .agg(F.bool_or("_overwrite").alias("_overwrite"), F.min(fact.key).alias(fact.key))
-        .filter("_overwrite")
-        .drop("_overwrite")
-    )
-    matches = F.col(fact.identifier) == F.col("_id")
-    updates = resolved.join(replaced, matches).drop("_id")
+        fact_hits(stored, resolved, key, fact.key_columns(), [fact.key, "event_month"])
+        .withColumnRenamed(key, "_id").withColumnRenamed("event_month", "_old_month"), fallback)
+    replaced = hits.filter("_overwrite").drop("_overwrite")
+    matches = F.col(key) == F.col("_id")
+    updates = resolved.join(replaced, matches)
     inserts = resolved.join(hits.select("_id"), matches, "left_anti")
 
-    old_months = hits.join(replaced.select("_id"), "_id", "left_semi").select(
-        F.col("_old_month").alias("event_month"), F.lit(0).alias("n"), F.lit(0).alias("fresh"))
-    written = (
-        old_months
-        .unionByName(updates.select("event_month", F.lit(1).alias("n"), F.lit(0).alias("fresh")))
-        .unionByName(inserts.select("event_month", F.lit(1).alias("n"), F.lit(1).alias("fresh")))
-        .groupBy("event_month")
-        .agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))
+    sizes = (
+        updates.select(F.col("_old_month").alias("event_month"), "bucket", F.lit(1).alias("lost"), F.lit(0).alias("n"), F.lit(0).alias("fresh"))
+        .unionByName(updates.select("event_month", "bucket", F.lit(0).alias("lost"), F.lit(1).alias("n"), F.lit(0).alias("fresh")))
+        .unionByName(inserts.select("event_month", "bucket", F.lit(0).alias("lost"), F.lit(1).alias("n"), F.lit(1).alias("fresh")))
+        .groupBy("event_month", "bucket")
+        .agg(F.sum("lost").alias("lost"), F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))
         .collect()
     )
-    if not written:
+    if not sizes:
         return 0
-    months = [row.event_month for row in written]
-    last = warehouse.reserve_keys(fact.table, sum(row.fresh for row in written))
-    numbered = assign_keys(inserts, fact.key, [fact.identifier], after=last)
-    kept = stored.filter(F.col("event_month").isin(months)).join(
-        replaced.select("_id"), matches, "left_anti"
-    )
-    loaded = updates.unionByName(numbered).withColumn("loaded_at", _moment(loaded_at))
-
-    # A month whose rows all moved elsewhere gets no new files and must go.
-    left_behind = [row.event_month for row in written if row.n == 0]
-    emptied = set(left_behind)
-    if left_behind:
-        alive = kept.filter(F.col("event_month").isin(left_behind)).select("event_month").distinct()
-        emptied -= {row.event_month for row in alive.collect()}
-    warehouse.replace_partitions(kept.unionByName(loaded), fact.table, "event_month", emptied)
-    return sum(row.n for row in written)
+    cells = {f"event_month={r.event_month}/bucket={r.bucket}": r for r in sizes}
+    full = {c for c in cells if len(base.cells("rows").get(c, ())) >= MOST_COMMITS}
+    rewritten = frozenset(c for c, r in cells.items() if r.lost) | full
+    last = warehouse.reserve_keys(fact.table, sum(r.fresh for r in sizes))
+    numbered = assign_keys(inserts, fact.key, [key], after=last)
+    loaded = cut_lineage(
+        updates.drop("_id", "_old_month").unionByName(numbered).withColumn("loaded_at", _moment(loaded_at)), fallback)
+    kept = table.read("rows", contracts.fact_schema(fact), rewritten, base).join(replaced.select("_id"), matches, "left_anti")
+
+    entries = loaded.select(*contracts.index_columns(fact), "event_month", F.lit(base.version + 1).cast("long").alias("revision"), "bucket")
+    buckets = {f"bucket={r.bucket}" for r in sizes}
+    crowded = frozenset(c for c in buckets if len(base.cells("index").get(c, ())) >= MOST_COMMITS)
+    old = table.read("index", contracts.index_schema(fact), crowded, base)
+    newer = loaded.select(F.col(key).alias("_id"))
+    payload = [c for c in old.columns if c not in (key, "revision", "bucket")]
+    packed = (old.join(newer, matches, "left_anti").groupBy(key, "bucket")
+              .agg(F.max_by(F.struct(*payload), "revision").alias("_entry"), F.max("revision").alias("revision"))
+              .select(key, "_entry.*", "revision", "bucket"))
+    table.commit(base, {
+        "rows": Change(kept.unionByName(loaded.select(*kept.columns)), ["event_month", "bucket"], replaced=rewritten),
+        "index": Change(packed.unionByName(entries), ["bucket"], replaced=crowded, seen=frozenset(buckets), sort=[key],
+                        options={f"parquet.bloom.filter.enabled#{key}": "true"}),
+    })
+    return sum(r.n for r in sizes)
 
 
 # --- jobs ------------------------------------------------------------------
@@ -344,14 +386,15 @@ def bootstrap(warehouse: Warehouse, ledger: Ledger) -> None:
             "loaded_row_count": 0, "rejected_row_count": 0, "revision": 1,
         })
     for name, dimension in DIMENSIONS.items():
-        stored = read_dimension(warehouse, name)
-        member = unknown_member(stored, name).withColumn(
+        table = warehouse.table(dimension.table)
+        base, schema = table.manifest(), contracts.dimension_schema(dimension)
+        member = unknown_member(table.read("open", schema, [], base), name).withColumn(
             "bucket", warehouse.bucket(dimension.identifier)
         )
-        bucket = member.first()["bucket"]
-        home = stored.filter(F.col("bucket") == bucket)
-        seeded = insert_if_absent(home, member, [dimension.key])
-        warehouse.replace_partitions(seeded, dimension.table, "bucket")
+        home = [f"bucket={member.first()['bucket']}"]
+        held = table.read("open", schema, home, base)
+        if held.filter(F.col(dimension.key) == C.UNKNOWN_KEY).isEmpty():
+            table.commit(base, {"open": Change(member, ["bucket"], seen=frozenset(home))})
 
 
 def run_full_load(

@@ -1,8 +1,7 @@
 """Staging, quarantine and warehouse tables as partitioned parquet folders.
 
-All folders live below one root that driver and executors share. Rewriting uses
-Spark's dynamic partition overwrite: tasks write aside and the finished
-partitions replace the old ones when the job commits.
+All folders live below one root that driver and executors share. Staging and quarantine replace a
+batch's folder by Spark's dynamic partition overwrite; dimensions and facts are :mod:`snapshots`.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY_RANGE = "table_name string, last_key bigint"
+from tidemark.sources.snapshots import NumberedFiles, SnapshotTable, reserve_range
+
 LAYOUT = "buckets int"
 
 
@@ -69,27 +69,18 @@ class Warehouse:
     def bucket(self, identifier: str) -> Column:
         return F.pmod(F.xxhash64(identifier), F.lit(self.buckets)).cast("int")
 
+    def table(self, name: str) -> SnapshotTable:
+        """A dimension or fact: files that never change, behind one committed manifest."""
+        return SnapshotTable(self.spark, self.path("warehouse", name))
+
     def reserve_keys(self, table: str, count: int) -> int:
         """Reserve ``count`` surrogate keys and return the last one used before them.
 
-        A reservation is written before the rows that use it, so keys are never
-        handed out twice, even after a failed batch, and the table itself need
-        not be scanned for its maximum.
+        A reservation stands before the rows that use it, and only one writer can make the next one, so keys
+        are never handed out twice: not after a failed batch, and not to two batches at a time. The
+        table itself need not be scanned for its maximum.
         """
-        ranges = self.read("warehouse", "key_range", KEY_RANGE)
-        used = (
-            ranges.filter(F.col("table_name") == table)
-            .agg(F.coalesce(F.max("last_key"), F.lit(0)).alias("last"))
-            .first()["last"]
-        )
-        if count:
-            (
-                self.spark.createDataFrame([(table, used + count)], KEY_RANGE)
-                .coalesce(1)
-                .write.mode("append")
-                .parquet(self.path("warehouse", "key_range"))
-            )
-        return used
+        return reserve_range(NumberedFiles(self.spark, self.path("warehouse", f"key_range/{table}")), count)
 
     # --- batches: staging and quarantine -----------------------------------
 
@@ -105,8 +96,6 @@ class Warehouse:
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         self.delete(f"{self.path(area, name)}/batch_id={escape(batch_id)}")
 
-    # --- tables ------------------------------------------------------------
-
     @staticmethod
     def _overwrite_partitions(df: DataFrame, path: str, column: str) -> None:
         (
@@ -116,19 +105,6 @@ class Warehouse:
             .parquet(path)
         )
 
-    def replace_partitions(
-        self, state: DataFrame, name: str, column: str, emptied: Iterable[object] = ()
-    ) -> None:
-        """Replace the partitions present in ``state``; drop the ``emptied`` ones.
-
-        ``rebalance`` lets adaptive execution split a partition value that holds
-        a large share of the rows over several tasks and files.
-        """
-        path = self.path("warehouse", name)
-        self._overwrite_partitions(state.hint("rebalance", column), path, column)
-        for value in emptied:
-            self.delete(f"{path}/{column}={value}")
-
 
 def purge_rows(staged: DataFrame, batch_id: str) -> DataFrame:
     """Staging without one merged batch, as a relation."""
