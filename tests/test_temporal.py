@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import temporal as T
 from tidemark.operators.surrogate import assign_keys, highest_key
 
@@ -112,3 +114,56 @@ def test_keys_are_dense_and_repeatable(spark):
     assert {(r.cid, r.v): r.k for r in again.collect()} == keys
     assert highest_key(first, "k") == 5_100
     assert highest_key(first.filter("k < 0"), "k") == 0
+
+
+def _spans(spark, *versions):
+    return spark.createDataFrame(list(versions), "id bigint, k bigint, f string, t string").select(
+        "id", "k", F.col("f").cast("timestamp_ntz").alias("valid_from"), F.col("t").cast("timestamp_ntz").alias("valid_to"))
+
+
+def test_time_cells_equal_the_plain_join(spark):
+    import random
+    from datetime import timedelta
+
+    rng, start = random.Random(4), datetime(1960, 1, 1)
+
+    def moment():
+        return start + timedelta(seconds=rng.choice([60, 5000, 10**6, 3 * 10**9]) * rng.random(), microseconds=rng.randrange(3))
+
+    versions = []
+    for k in range(1, 400):
+        a, length = moment(), rng.choice([0, -5, 1, 63, 64, 1024, 10**5, 10**9])
+        b = None if k % 13 == 0 else a + timedelta(seconds=length)
+        versions += [(k % 7, k, str(a), str(b) if b else None)]
+        if b and k % 3 == 0:  # touching
+            versions.append((k % 7, 1000 + k, str(b), str(b + timedelta(seconds=rng.randrange(1, 900)))))
+    dimension = _spans(spark, *versions)
+    at = [v[i] for v in versions for i in (2, 3) if v[i]] + [str(moment()) for _ in range(200)]
+    events = spark.createDataFrame(
+        [(n, rng.choice([0, 1, 2, 3, 4, 5, 6, 99, None]), t) for n, t in enumerate([*at, None, at[0], at[0]])],
+        "event bigint, id bigint, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    plain, cells = (sorted(map(str, T.as_of_lookup(events, T.VersionLookup(dimension, "id", "k", busy=b), "at").collect()))
+                    for b in (False, True))
+    assert cells == plain and len(plain) >= events.count()
+
+
+def test_a_busy_identifier_meets_few_versions_per_event(spark):
+    """100,000 versions and 100,000 events of one identifier: the rows that meet grow with the events."""
+    n = 100_000
+    ids = spark.range(n).withColumn("gap", F.pmod(F.xxhash64("id"), F.lit(5)))
+    second = F.col("id") * 100 + F.when(F.col("gap") == 0, 90).otherwise(F.col("gap"))
+    moment = lambda s: F.expr("timestamp_ntz '2020-01-01'") + F.make_dt_interval(secs=s.cast("decimal(18,6)"))
+    dimension = ids.select(F.lit(1).alias("who"), F.col("id").alias("k"), moment(second).alias("valid_from"),
+                           moment(second + 60).alias("valid_to"))
+    events = ids.select(F.lit(1).alias("who"), F.col("id").alias("event"), moment(F.col("id") * 97 + 13).alias("at"))
+    out = T.as_of_lookup(events, T.VersionLookup(dimension, "who", "k", busy=True), "at")
+    assert out.count() >= n
+    versions = T.VersionLookup(dimension, "who", "k").versions().select(
+        F.col("who").alias("_id"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.col("k").alias("_key"))
+    unbounded = T.covers
+    try:
+        T.covers = lambda *_: F.lit(True)  # every pair that shares a cell
+        met = T._matches_in_cells(events, versions, "who", "at").count()
+    finally:
+        T.covers = unbounded
+    assert met < 40 * n

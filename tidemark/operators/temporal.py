@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import UNKNOWN_KEY
+from tidemark.operators.lookup import splittable_join
 
 # Width of the time slices over which one identifier's versions are split.
 SLICE_SECONDS = 86400
@@ -26,6 +27,8 @@ class VersionLookup:
     dimension: DataFrame = field(repr=False)
     id_column: str
     key_column: str
+    #: Identifiers may have very many versions *and* events: meet in time cells (see :func:`as_of_lookup`).
+    busy: bool = False
 
     def versions(self) -> DataFrame:
         return self.dimension.select(self.id_column, self.key_column, "valid_from", "valid_to")
@@ -56,12 +59,60 @@ def covers(time: Column, valid_from: Column, valid_to: Column) -> Column:
     return (time >= valid_from) & (valid_to.isNull() | (time < valid_to))
 
 
+# Widths of the time cells grow by this factor; the narrowest are 64 seconds, the widest some 2,000 years.
+CELL_BITS, NARROWEST, CELL_LEVELS = 4, 6, 9
+# The level of versions that are open or longer than the widest cells: one cell for all time.
+OPEN_LEVEL = CELL_LEVELS
+
+
+def _cell_level(length: Column) -> Column:
+    """The narrowest cells that are at least as wide as a version is long, in seconds."""
+    level = F.lit(OPEN_LEVEL)
+    for n in reversed(range(CELL_LEVELS)):
+        level = F.when(length <= 1 << (NARROWEST + n * CELL_BITS), F.lit(n)).otherwise(level)
+    return level
+
+
+def _cell(seconds: Column, level: Column) -> Column:
+    """Number of the cell of a level that a moment lies in."""
+    return F.when(level == OPEN_LEVEL, F.lit(0)).otherwise(
+        F.call_function("shiftright", seconds, (F.lit(NARROWEST) + level * CELL_BITS).cast("int")))
+
+
+def _matches_in_cells(events: DataFrame, versions: DataFrame, id_column: str, event_time: str) -> DataFrame:
+    """(_event_id, _time, _key) for each distinct identifier and moment of ``events`` and each version in force then.
+
+    A version lies in cells about as wide as it is long: at most two of them, or the one cell of open versions. A moment
+    looks into one cell of each level that its identifier has versions of. Versions that do not overlap and are longer
+    than a sixteenth of a cell fit into it some sixteen at a time, so a moment meets a bounded number of them
+    per level, however many its identifier has. Overlapping versions are all met, as they all match.
+    """
+    length = _clock_seconds(F.col("_to")) - _clock_seconds(F.col("_from")) + 1
+    placed = versions.filter(F.col("_to").isNull() | (F.col("_from") < F.col("_to"))).withColumn(
+        "_level", F.coalesce(_cell_level(length), F.lit(OPEN_LEVEL)))
+    first, last = (_cell(_clock_seconds(F.col(c)), F.col("_level")).cast("long") for c in ("_from", "_to"))
+    placed = placed.withColumn("_cell", F.explode(F.when(
+        F.col("_level") == OPEN_LEVEL, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last))))
+    levels = placed.groupBy(F.col("_id").alias("_level_id")).agg(F.collect_set("_level").alias("_levels"))
+    moments = events.select(F.col(id_column).alias("_event_id"), F.col(event_time).alias("_time")).dropna().distinct()
+    spread = (
+        splittable_join(moments, levels, "_event_id", "_level_id", "inner")
+        .select("_event_id", "_time", F.explode("_levels").alias("_event_level"))
+        .withColumn("_event_cell", _cell(_clock_seconds(F.col("_time")), F.col("_event_level")).cast("long"))
+    )
+    inside = (
+        (F.col("_event_id") == F.col("_id")) & (F.col("_event_level") == F.col("_level"))
+        & (F.col("_event_cell") == F.col("_cell")) & covers(F.col("_time"), F.col("_from"), F.col("_to")))
+    return spread.join(placed, inside).select("_event_id", "_time", "_key")
+
+
 def as_of_lookup(events: DataFrame, lookup: VersionLookup, event_time: str) -> DataFrame:
     """Surrogate key of the version in force at ``event_time``, 0 when there is none.
 
     An equi join with the interval as residual condition, which Spark runs as a broadcast or
-    sort-merge join; adaptive execution splits an identifier with very many events. A version that
-    ends where it starts, or before, covers no time and matches nothing.
+    sort-merge join; adaptive execution splits an identifier with very many events. That pairs each event with
+    all versions of its identifier. Where a lookup is ``busy`` they meet in time cells instead, and the work is
+    linear in both. A version that ends where it starts, or before, covers no time and matches nothing.
     """
     versions = lookup.versions().select(
         F.col(lookup.id_column).alias("_id"),
@@ -69,6 +120,14 @@ def as_of_lookup(events: DataFrame, lookup: VersionLookup, event_time: str) -> D
         F.col("valid_to").alias("_to"),
         F.col(lookup.key_column).alias("_key"),
     )
+    if lookup.busy:
+        matches = _matches_in_cells(events, versions, lookup.id_column, event_time)
+        condition = (F.col(lookup.id_column) == F.col("_event_id")) & (F.col(event_time) == F.col("_time"))
+        return (
+            events.join(matches, condition, "left")
+            .withColumn(lookup.key_column, F.coalesce("_key", F.lit(UNKNOWN_KEY)))
+            .drop("_event_id", "_time", "_key")
+        )
     condition = (F.col(lookup.id_column) == F.col("_id")) & covers(
         F.col(event_time), F.col("_from"), F.col("_to")
     )

@@ -432,7 +432,7 @@ def _event_versions(spark, d):
 @query
 def asof_join_busy(spark, d):
     """Events against user versions, among them users with very many."""
-    lookup = temporal.VersionLookup(_event_versions(spark, d), "user_id", "user_key")
+    lookup = temporal.VersionLookup(_event_versions(spark, d), "user_id", "user_key", busy=True)
     events = table(spark, d, "events").select("event_id", "user_id", "ts")
     return temporal.as_of_lookup(events, lookup, "ts")
 
