@@ -6,7 +6,6 @@ folder that the cluster names as shared by driver and executors.
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 import zlib
@@ -67,12 +66,6 @@ def drop_kept() -> None:
     _KEPT.clear()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def file_system(folder: str):
     """Arrow's file system and path for a shared folder, for use inside tasks."""
     from pyarrow import fs

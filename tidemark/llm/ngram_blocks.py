@@ -27,8 +27,6 @@ BLOCKS = "block string, n_tokens bigint, payload binary"
 QUESTIONS = "shard int, block string, words int, word_keys binary, word_counts binary, pairs int, pair_keys binary, pair_counts binary"
 TOKENS_PER_BLOCK = 1_000_000
 CHARS_PER_SHARD = 16_000_000
-#: Bits of a key filter, a fixed size, and of each of the slices it is put together from.
-FILTER_BITS, SLICE_BITS = 27, 19
 #: The engine's own string hash and seed, so that SQL plans can make the same keys.
 SEED = 42
 
@@ -80,51 +78,6 @@ class Block:
         return np.add.reduceat(values, self.starts) if len(values) else np.zeros(0)
 
 
-class KeyFilter:
-    """Bloom filter of keys in a fixed 16 MB: what it lacks is not among them."""
-
-    def __init__(self, slices: dict[int, bytes]):
-        size = 1 << (SLICE_BITS - 3)
-        empty = bytes(size)
-        self.bits = np.frombuffer(b"".join(slices.get(i, empty) for i in range(1 << (FILTER_BITS - SLICE_BITS))), np.uint8)
-
-    @staticmethod
-    def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64((1 << FILTER_BITS) - 1)
-        return tuple(((keys >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, FILTER_BITS))
-
-    def may_have(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for at in self.places(keys):
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-    @classmethod
-    def of(cls, keyed: DataFrame) -> KeyFilter:
-        """Of ``keyed`` (key: bigint); slices are merged before the driver gets them."""
-        size = 1 << (SLICE_BITS - 3)
-
-        def mark(batches):
-            at = [np.concatenate(cls.places(b.column(0).to_numpy().astype(np.int64).view(np.uint64))) for b in batches]
-            at = np.unique(np.concatenate(at)) if at else np.empty(0, np.int64)
-            number = at >> SLICE_BITS
-            for i in np.unique(number):
-                bits = np.zeros(1 << SLICE_BITS, np.uint8)
-                bits[at[number == i] & ((1 << SLICE_BITS) - 1)] = 1
-                packed = pa.compress(np.packbits(bits, bitorder="little").tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "bits": pa.array([packed], pa.binary())})
-
-        def merge(group: pa.Table) -> pa.Table:
-            whole = np.zeros(size, np.uint8)
-            for b in group.column("bits"):
-                whole |= np.frombuffer(pa.decompress(b.as_py(), size, codec="zstd", asbytes=True), np.uint8)
-            return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([whole.tobytes()], pa.binary())})
-
-        schema = "slice int, bits binary"
-        found = keyed.mapInArrow(mark, schema).groupBy("slice").applyInArrow(merge, schema).collect()
-        return cls({r.slice: bytes(r.bits) for r in found})
-
-
 def _payload(rows: list[pa.RecordBatch], train, lengths, tokens, hashes) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows[0].schema) as stream:
@@ -194,10 +147,10 @@ def shard_count(docs: DataFrame) -> int:
 class _Cut:
     """Keys in the order of (shard, key), and the bounds of the shards."""
 
-    def __init__(self, keys: np.ndarray, shards: int, cut: int = 0):
+    def __init__(self, keys: np.ndarray, shards: int):
         shard = (keys % np.uint64(shards)).astype(np.int64)
         self.order = np.lexsort((keys, shard))
-        self.keys = keys[self.order] >> np.uint64(cut)
+        self.keys = keys[self.order]
         self.bounds = np.searchsorted(shard[self.order], np.arange(shards + 1))
 
     def blob(self, shard: int, column: np.ndarray) -> bytes:
@@ -211,24 +164,19 @@ class _Cut:
         return int(self.bounds[shard + 1] - self.bounds[shard])
 
 
-def questions(blocks: DataFrame, shards: int, among=None, cut: int = 0) -> DataFrame:
-    """Each block's distinct keys by shard, with their counts in its training documents.
-
-    With ``among``, a broadcast :class:`KeyFilter`, only keys that it may have are asked about. ``cut``
-    low bits of the keys are left out (the shard is chosen by the whole key).
-    """
+def questions(blocks: DataFrame, shards: int) -> DataFrame:
+    """Each block's distinct keys by shard, with their counts in its training documents."""
     def ask(batches):
         for batch in batches:
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block = Block(payload.as_py())
                 distinct, place, at = block.pairs()
                 pair_keys = block.pair_keys(distinct)
-                asked, named = (among.value.may_have(k) if among else np.ones(len(k), bool) for k in (pair_keys, block.hashes))
-                words, pairs = _Cut(block.hashes[named], shards, cut), _Cut(pair_keys[asked], shards, cut)
+                words, pairs = _Cut(block.hashes, shards), _Cut(pair_keys, shards)
                 n_words = np.bincount(block.tokens[block.train_tokens], minlength=len(block.hashes))
                 n_pairs = np.bincount(place[block.train_tokens[at]], minlength=len(distinct))
-                n_words = n_words.astype(np.uint32)[named][words.order]
-                n_pairs = n_pairs.astype(np.uint32)[asked][pairs.order]
+                n_words = n_words.astype(np.uint32)[words.order]
+                n_pairs = n_pairs.astype(np.uint32)[pairs.order]
                 for s in range(shards):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([s], pa.int32()), pa.array([name]),
@@ -255,17 +203,6 @@ def placed(keys: np.ndarray, shards: int, blobs: dict[int, bytes], dtype) -> np.
     return out
 
 
-def stored_blocks(blocks: DataFrame, folder: str, shards: int) -> tuple[DataFrame, str]:
-    """Blocks written once, in buckets by name, so that answers come to them and they are not shuffled.
-
-    Returns the frame and its table's name in the session's catalog, to be dropped by the caller.
-    """
-    spark, name = blocks.sparkSession, f"tidemark_blocks_{uuid.uuid4().hex}"
-    buckets = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks.write.format("parquet").bucketBy(buckets, "block").option("path", folder).saveAsTable(name)
-    return spark.table(name), name
-
-
 def answered(blocks: DataFrame, answers: DataFrame, read: Callable, schema: str) -> DataFrame:
     """``read(block, rows of answers)`` for each block, one row per document; names of answers stay."""
     fields = T._parse_datatype_string(schema).fieldNames()
