@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.llm import learned_partitions
 from tidemark.llm.learned_partitions import balanced_parts, nearest, neighbour_graph, search
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
@@ -51,6 +53,18 @@ def test_exact_when_all_parts_are_probed(spark):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-12)
 
 
+def test_an_id_with_several_vectors(spark, monkeypatch):
+    monkeypatch.setattr(learned_partitions, "QUERIES_PER_GROUP", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3)]) for i in [*range(60), *[100] * 8, *[200] * 20]]
+    rows += [(300, rows[62][1]), (7, rows[63][1])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).withColumn("query", F.lit(1)).withColumn("v", F.lit("x"))
+    got = found(search(df, df.where("vec_id % 100 = 0"), probes=16))
+    want = brute(rows, {0, 100, 200, 300})
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) == 300
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-12)
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [0.0, 1.0], 0)], VECTORS)
     assert [(r[0], r[1], r[2]) for r in found(search(df, df))] == [
@@ -68,5 +82,5 @@ def test_parts_are_balanced_and_cut_few_edges():
 
 
 def test_nearest_breaks_ties_by_id():
-    (ids, far), = nearest(np.zeros((1, 2)), np.array([[3.0, 4.0], [4.0, 3.0], [0.0, 1.0]]), [[9, 12], [2], [7]], 3)
+    (ids, far), = nearest(np.zeros((1, 2)), np.array([-1]), np.array([[3.0, 4.0], [4.0, 3.0], [0.0, 1.0]]), [[9, 12], [2], [7]], 3)
     assert ids.tolist() == [7, 2, 9] and far.tolist() == [1.0, 5.0, 5.0]

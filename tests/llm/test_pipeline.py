@@ -135,6 +135,17 @@ def test_stages_keep_columns_and_rows(stages):
     assert after.count() == before.count() and after.where("NOT round_trip").count() == 0
 
 
+def test_columns_named_like_those_of_the_stages_stay(spark, stages):
+    odd = ["spans", "n_words", "contaminated", "cleaned", "__key", "__rows", "key", "rows", "keep", "row", "block"]
+    docs = stages[0][1].limit(60)
+    marked = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in odd])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, marked, "/root/testdata/sf0.001")
+        assert after.columns == marked.columns, name
+        rows = after.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in odd)
+
+
 def test_near_copies_of_the_table(stages):
     _, before, after = stages[1]
     rows = sorted((r.doc_id, r.text) for r in before.collect())

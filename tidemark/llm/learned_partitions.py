@@ -7,11 +7,11 @@ parts, whose vectors are all compared exactly in double precision.
 
 Equal vectors are one entry with their ``k + 1`` least ids, which is all that a result of ``k`` other rows can
 name, so a vector that fills a third of the table is compared once. Parts are dealt over
-salted groups of bounded size; a query visits all salts of a part.
+salted groups of bounded size and queries over blocks; a query visits all salts of a part, and a row all blocks.
 
 Edge cases: vectors that are null, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, nor do rows without an id; rows that repeat id and vector count once; rows
-with the query's id are its own; with ``k`` or fewer candidates all of them that the probed parts hold are returned, and a sample of at most
+with the query's id are its own, whatever their vectors, and a query id with several vectors is a query for each; with ``k`` or fewer candidates all of them that the probed parts hold are returned, and a sample of at most
 ``least_per_part`` rows a part makes fewer parts; an empty table gives no rows.
 """
 
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEIGHBOURS = 10
-ROWS_PER_GROUP = 20_000
+ROWS_PER_GROUP, QUERIES_PER_GROUP = 20_000, 4_096
 CELLS_AT_ONCE = 4_000_000
-FOUND = "query bigint, vec_id bigint, score double"
+FOUND = "query string, query_id bigint, vec_id bigint, score double"
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -155,26 +155,31 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def nearest(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ``keep`` nearest ids and their distances, ties to the smaller id."""
+def nearest(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: list[list[int]], keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ``keep`` nearest ids but its ``own`` and their distances, ties to the smaller id."""
     counts = np.array(list(map(len, ids)))
     owner, flat = np.repeat(np.arange(len(ids)), counts), np.array([i for some in ids for i in some])
+    # vectors that only one id has: out of the question for that id's queries
+    alone = np.flatnonzero(counts == 1)
+    alone = alone[np.argsort(flat[np.cumsum(counts) - counts][alone], kind="stable")]
+    names = flat[np.cumsum(counts) - counts][alone]
     norms, out = (vectors * vectors).sum(1), []
     step = max(1, CELLS_AT_ONCE // max(1, len(vectors)))
     for at in range(0, len(queries), step):
-        part = queries[at:at + step]
+        part, mine = queries[at:at + step], own[at:at + step]
         rough = norms[None, :] - 2 * part @ vectors.T + (part * part).sum(1)[:, None]
+        for row, low, high in zip(rough, np.searchsorted(names, mine, "left"), np.searchsorted(names, mine, "right")):
+            row[alone[low:high]] = np.inf
         if len(vectors) > keep:
             edge = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
         else:
-            edge = rough.max(1)
+            edge = np.full(len(part), np.inf)
         slack = 1e-9 * (norms.max() + (part * part).sum(1))  # rounding of the expanded form
-        for row, limit, q in zip(rough, edge + slack, part):
-            close = np.flatnonzero(row <= limit)
-            exact = np.sqrt(((vectors[close] - q) ** 2).sum(1))
+        for row, limit, q, i in zip(rough, edge + slack, part, mine):
+            close = np.flatnonzero((row <= limit) & (row < np.inf))
             far = np.full(len(vectors), np.inf)
-            far[close] = exact
-            entries = np.flatnonzero(np.isin(owner, close)) if len(close) < len(vectors) else np.arange(len(flat))
+            far[close] = np.sqrt(((vectors[close] - q) ** 2).sum(1))
+            entries = np.flatnonzero((far[owner] < np.inf) & (flat != i))
             order = np.lexsort((flat[entries], far[owner[entries]]))[:keep]
             out.append((flat[entries[order]], far[owner[entries[order]]]))
     return out
@@ -197,8 +202,11 @@ def search(table: DataFrame, queries: DataFrame, *, k: int = 10, levels: int = 4
     entries = (rows.where(F.size("v") == size).withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1)
                .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     salts = max(1, -(-rows.count() // (ROWS_PER_GROUP * 2**levels)))
-    asked = usable(queries).where(F.size("v") == size).dropDuplicates(["vec_id", "v"])
-    shapes = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
+    # a query is named by its id and its vector, so several vectors of one id are several queries
+    name = F.concat_ws(":", "vec_id", F.hex(F.xxhash64("v")))
+    asked = (usable(queries).where(F.size("v") == size).dropDuplicates(["vec_id", "v"])
+             .select("v", name.alias("query"), F.col("vec_id").alias("query_id")))
+    blocks = max(1, -(-asked.count() // QUERIES_PER_GROUP))
 
     def place(count: int):
         def run(batches):
@@ -210,25 +218,25 @@ def search(table: DataFrame, queries: DataFrame, *, k: int = 10, levels: int = 4
                     yield pa.RecordBatch.from_arrays([part, *batch.columns], names=["part", *batch.schema.names])
         return run
 
-    stored = entries.mapInArrow(place(1), "part int, v array<double>, ids array<bigint>").withColumn(
-        "salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    sent = shapes.mapInArrow(place(probed), "part int, v array<double>, query bigint").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    stored = entries.mapInArrow(place(1), "part int, v array<double>, ids array<bigint>").select(
+        "*", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sent = asked.mapInArrow(place(probed), "part int, v array<double>, query string, query_id bigint").select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
 
     def compare(key, index: pa.Table, group: pa.Table) -> pa.Table:
         if not len(index) or not len(group):
-            return pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        found = nearest(matrix(group.column("v")), matrix(index.column("v")), index.column("ids").to_pylist(), k + 1)
-        names = group.column("query").to_numpy()
-        return pa.table({"query": np.repeat(names, [len(i) for i, _ in found]).astype(np.int64),
-                         "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    found = stored.groupBy("part", "salt").cogroup(sent.groupBy("part", "salt")).applyInArrow(compare, FOUND)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.float64())
+            return pa.table([pa.array([], t) for t in types], names=["query", "query_id", "vec_id", "score"])
+        own = group.column("query_id").to_numpy()
+        found = nearest(matrix(group.column("v")), own, matrix(index.column("v")), index.column("ids").to_pylist(), k)
+        times = np.array([len(i) for i, _ in found])
+        return pa.table({"query": group.column("query").take(pa.array(np.repeat(np.arange(len(own)), times))),
+                         "query_id": np.repeat(own, times).astype(np.int64),
+                         "vec_id": np.concatenate([i for i, _ in found]).astype(np.int64), "score": np.concatenate([s for _, s in found])})
+
+    groups = ("part", "salt", "block")
+    found = stored.groupBy(*groups).cogroup(sent.groupBy(*groups)).applyInArrow(compare, FOUND)
     best = Window.partitionBy("query").orderBy("score", "vec_id")
-    top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    # every query of a shape gets the shape's list without its own row
-    members = asked.join(shapes, "v").select(F.col("vec_id").alias("query_id"), "query")
-    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("hits"))
-    own = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
-    return members.join(lists, "query").select("query_id", F.posexplode(own).alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -262,7 +262,8 @@ def near_copy_rows(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class."""
     keep = near_copy_rows(docs, **options)
-    joined = docs.withColumn("__key", row_key("doc_id", "text")).join(
-        keep.select(F.col("key").alias("__key"), F.col("rows").alias("__rows")), "__key")
-    once = joined.where("__rows = 1").unionByName(joined.where("__rows > 1").dropDuplicates(["__key"]))
-    return once.select(docs.columns)
+    # the row travels whole, so that no column of its own can clash
+    packed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("key"))
+    joined = packed.join(keep.select("key", "rows"), "key")
+    once = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates(["key"]))
+    return once.select("row.*")
