@@ -6,7 +6,7 @@ the next reads it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_folder, remove, row_key, table, written
@@ -17,12 +17,16 @@ from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.unigram_pieces import encode_pieces
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that none clashes with those of an operator."""
+    return F.struct(*docs.columns).alias("row")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney classifier does not reject."""
     judged = classify_quality(docs, table(spark, sf_dir, "labels"))
-    kept = judged.where("keep").select(F.col("key").alias("__key"))
-    rows = docs.withColumn("__key", row_key("doc_id", "lang", F.coalesce("text", F.lit(""))))
-    return rows.join(kept, "__key", "left_semi").select(docs.columns)
+    rows = docs.select(whole(docs), row_key("doc_id", "lang", F.coalesce("text", F.lit(""))).alias("key"))
+    return rows.join(judged.where("keep").select("key"), "key", "left_semi").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are benchmark passages, as they are."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
+    rows = docs.select(whole(docs), "text")
+    return decontaminate(rows, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
