@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -68,3 +70,42 @@ def test_main_text_of_pages(spark):
         "Title <x>\nFirst & bold text.\nSecond paragraph that is long enough.\nThird one.")
     assert all(r.text == "" for r in rows if r.page_id in (9002, None))
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+LAYOUTS = {
+    "body with a sidebar class": ('<body class="with-sidebar"><article class="post has-comments"><h1>T</h1><p>One is here.</p></article>'
+                                  '<div class="sidebar"><p>Side</p></div></body>', "T\nOne is here."),
+    "header of the article": ("<body><header><p>Site</p></header><article><header><h1>Big Title</h1></header><p>Body text here.</p></article>"
+                              "</body>", "Big Title\nBody text here."),
+    "privacy notice": ('<body><main><h1>T</h1><p>Words of the text.</p></main><div class="gdpr"><p>We value your privacy. Accept all.</p></div>',
+                       "T\nWords of the text."),
+    "wrapper named after search": ('<div class="search-page"><h1>T</h1><p>First one.</p><p>Second one.</p></div><footer>x</footer>',
+                                   "T\nFirst one.\nSecond one."),
+    "wrapper around main": ('<div id="content-sidebar-wrap" class="sidebar"><main><p>Inside it.</p></main></div>', "Inside it."),
+    "comments as articles": ('<main><article><h1>T</h1><p>Main words.</p></article><section id="comments"><article class="comment">'
+                             "<p>Nice one!</p></article></section></main>", "T\nMain words."),
+    "aside in the text": ("<article><h1>T</h1><p>Before it.</p><aside><p>Read more</p></aside><p>After it.</p></article>", "T\nBefore it.\nAfter it."),
+    "navigation by role": ('<div role="navigation"><ul><li><a href=a>Home</a></ul></div><article><p>Only this.</p></article>', "Only this."),
+    "lists and tables": ("<main><h1>T</h1><ul><li>a b<li>c d</ul><table><tr><td>1<td>2</table></main>", "T\na b\nc d\n1\n2"),
+    "advert between": ('<article><p>Up here.</p><div class="ad-slot"><p>Buy now</p></div><p>Down here.</p></article>', "Up here.\nDown here."),
+    "form at the end": ("<article><p>Text of it.</p></article><form><p>Your mail</p><button>Go</button></form>", "Text of it."),
+    "no hint at all": ("<p>Plain one.<p>Plain two.", "Plain one.\nPlain two."),
+}
+
+
+def test_hand_made_layouts(spark):
+    """Expected texts are written by hand; none may be lost."""
+    pages = spark.read.parquet(SF)
+    names = list(LAYOUTS)
+    made = spark.createDataFrame([(10_000 + i, "u", LAYOUTS[n][0]) for i, n in enumerate(names)], pages.schema)
+    rows = {r.page_id: r.text for r in extract_main_text(pages.unionByName(made)).collect()}
+    assert {n: rows[10_000 + i] for i, n in enumerate(names)} == {n: LAYOUTS[n][1] for n in names}
+
+
+def test_deep_pages_take_time_by_their_length():
+    started = time.perf_counter()
+    assert len(blocks_of("<div>x" * 20_000)) == 20_000
+    assert len(blocks_of("<div>" * 20_000 + "</span></em></section>" * 20_000 + "<nav>y")) == 1
+    assert time.perf_counter() - started < 5
+    deep = blocks_of("<nav>" + "<div>" * 100 + "far")[0]
+    assert len(deep.path) < 60 and not weak_label(deep)

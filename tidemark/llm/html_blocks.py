@@ -6,11 +6,12 @@ LSTM reads the whole sequence and labels every block as main text or not.
 
 The labeller is trained here, on a bounded sample of the pages (``max_training_pages``, by hash order, documented
 bound). Their blocks get weak labels from what the markup says (navigation, header, footer, sidebar, advert,
-notice, form, comments: not main text), and copies of the pages are dressed with further such
+notice, form, comments: not main text; names count for the part they are given to, not for an element that holds the
+page, and a header inside an article is the article's), and copies of the pages are dressed with further such
 containers, filled with the pages' own text, so that names which the sample lacks are known too.
 
 Edge cases: a null or empty html has no blocks and an empty text; equal pages come out alike; a page that is cut off keeps
-the text up to the cut, without an unfinished tag; without pages nothing is trained.
+the text up to the cut, without an unfinished tag; time grows with a page's length, not with its depth; without pages nothing is trained.
 """
 
 from __future__ import annotations
@@ -45,10 +46,16 @@ CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button select menu title dialog fieldset".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disclaimer dialog discussion footer form header login masthead menu modal nav navbar navigation newsletter notice notices "
+    "disclaimer dialog discussion footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
     "pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe tags toolbar topbar widget".split())
 
+#: Elements that hold the page, and words in names that say what an element has beside it or which state it is in.
+WHOLE = frozenset("html body main".split())
+STATES = frozenset("has with without no is show hide".split())
+#: Containers whose parts make up a path.
+NEAREST = 24
+
 PATH_BINS, WORD_BINS, MEASURES, HIDDEN = 320, 48, 4, 24
 WIDTH = PATH_BINS + WORD_BINS + MEASURES
 CELLS_AT_ONCE = 8192
@@ -63,31 +70,67 @@ class Block:
     linked: float
 
 
-def path_parts(tag: str, attributes: str) -> tuple[str, ...]:
-    """``<tag`` and ``.name`` for each part of the element's classes, id and role."""
-    if "=" not in attributes:
-        return (f"<{tag}",)
-    names = PARTS.findall(" ".join("".join(m) for m in NAMES.findall(attributes)))
-    return (f"<{tag}", *(f".{n.lower()}" for n in names))
+class Element:
+    """An open tag with its parent, and what its subtree holds."""
+
+    __slots__ = ("tag", "names", "parent", "holds", "in_article", "part", "above", "depth")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None):
+        self.tag, self.names, self.parent = tag, names_of(attributes) if "=" in attributes else (), parent
+        #: titles, paragraphs and main parts below
+        self.holds = [int(tag == "h1"), int(tag == "p"), int(tag == "main")]
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.depth = parent.depth + 1 if parent else 0
+        self.part = "<header@article" if tag == "header" and self.in_article else f"<{tag}"
+        #: the different tags above, so that what lies far out still counts
+        self.above: frozenset[str] = parent.above if parent else frozenset()
+        if parent and parent.part not in self.above and len(self.above) <= NEAREST:
+            self.above |= {parent.part}
+
+    def parts(self) -> tuple[str, ...]:
+        """``<tag`` and ``.name`` of the element. The heading of an article is not that of the site. Names say nothing of an
+        element that holds the page: html, body, main, and what has a title with paragraphs, or a main part, in it."""
+        titles, paragraphs, mains = self.holds
+        if self.tag in WHOLE or mains or (titles and (paragraphs > 1 or self.tag == "article")):
+            return (self.part,)
+        return (self.part, *(f".{n}" for n in self.names))
+
+
+def names_of(attributes: str) -> tuple[str, ...]:
+    """Words of an element's classes, id and role; a name such as with-sidebar tells of something else than the element."""
+    out = []
+    for found in NAMES.findall(attributes):
+        for name in "".join(found).split():
+            words = [w.lower() for w in PARTS.findall(name)]
+            if not STATES.intersection(words[:-1]):
+                out += words
+    return tuple(out)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; character references decoded, white space turned into single spaces."""
-    found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """Leaf blocks in page order; character references decoded, white space turned into single spaces.
+
+    Every step costs the same however deep the tags are nested.
+    """
+    found: list[tuple[str, Element | None, bool, float]] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
+    is_open: dict[str, int] = {}
     texts: list[str] = []
-    links, at, end = 0, 0, len(page)
+    in_link, links, at, end = False, 0, 0, len(page)
 
     def close():
         nonlocal links
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                path = tuple(part for _, parts in stack for part in parts)
-                found.append(Block(text, path, links / max(1, sum(map(len, texts)))))
+                found.append((text, stack[-1] if stack else None, in_link, links / max(1, sum(map(len, texts)))))
             texts.clear()
         links = 0
 
+    def pop():
+        is_open[stack.pop().tag] -= 1
+
     while at < end:
         token = TOKEN.match(page, at)
         at = token.end()
@@ -96,7 +139,7 @@ def blocks_of(page: str) -> list[Block]:
             text = token[0]
             if text[0] != "<" or len(text) == 1:
                 texts.append(entities.unescape(text) if "&" in text else text)
-                if any(t == "a" for t, _ in stack):
+                if in_link:
                     links += len(text)
             continue
         tag = tag.lower()
@@ -104,29 +147,43 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "br":
                 texts.append(" ")
             elif tag == "a":
-                if token[1]:
-                    stack[:] = [s for s in stack if s[0] != "a"]
-                else:
-                    stack.append(("a", ("<a",)))
+                in_link = not token[1]
             continue
         close()
         if token[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if is_open.get(tag):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
+                in_link = False
         elif tag in RAW:
             over = RAW[tag].search(page, at)
             at = over.end() if over else end
         elif tag not in VOID and not token[3].endswith("/"):
-            stack[:] = [s for s in stack if s[0] != "a"]
-            if tag in CLOSE_PARAGRAPH and stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
-                stack.pop()
-            stack.append((tag, path_parts(tag, token[3])))
+            in_link = False
+            if tag in CLOSE_PARAGRAPH and stack and stack[-1].tag == "p":
+                pop()
+            if tag in CLOSES_ITSELF and stack and stack[-1].tag == tag:
+                pop()
+            stack.append(Element(tag, token[3], stack[-1] if stack else None))
+            elements.append(stack[-1])
+            is_open[tag] = is_open.get(tag, 0) + 1
     close()
-    return found
+    for element in reversed(elements):  # children come after their parents
+        if element.parent:
+            for n, held in enumerate(element.holds):
+                element.parent.holds[n] += held
+    return [Block(text, path_of(element) + ("<a",) * linked, share) for text, element, linked, share in found]
+
+
+def path_of(element: Element | None) -> tuple[str, ...]:
+    """Parts of the nearest containers, outermost first, behind the tags of those further out."""
+    near: list[tuple[str, ...]] = []
+    above = sorted(element.above) if element and element.depth > NEAREST else ()
+    while element and len(near) <= NEAREST:
+        near.append(element.parts())
+        element = element.parent
+    return (*above, *(part for parts in reversed(near) for part in parts))
 
 
 def weak_label(block: Block) -> bool:
@@ -286,7 +343,7 @@ def dressed(blocks: list[Block], texts: list[str], rng: np.random.Generator) ->
         at = int(rng.integers(0, len(out) + 1))
         inside = main[int(rng.integers(len(main)))].path[:-1] if main and rng.random() < 0.5 else ("<html", "<body")
         head = (f"<{tags[int(rng.integers(len(tags)))]}",) if rng.random() < 0.4 else (
-            f"<{('div', 'section', 'ul', 'p')[int(rng.integers(4))]}", f".{names[int(rng.integers(len(names)))]}")
+            f"<{('div', 'section', 'ul', 'p', 'article')[int(rng.integers(5))]}", f".{names[int(rng.integers(len(names)))]}")
         leaf = f"<{('p', 'li', 'div', 'h2', 'span')[int(rng.integers(5))]}"
         new = [Block(texts[int(rng.integers(len(texts)))], (*inside, *head, leaf), float(rng.random() < 0.5))
                for _ in range(rng.integers(1, 5))]
@@ -294,7 +351,7 @@ def dressed(blocks: list[Block], texts: list[str], rng: np.random.Generator) ->
     shell = (("<html", "<body", "<article"), ("<html", "<body", "<main"), ("<html", "<body", "<div", ".content"), ("<html", "<body"),
              ("<html", "<body", "<div", ".post"), ("<html", "<body", "<section"))[int(rng.integers(6))]
     leaves = (("<p",), ("<h1",), ("<h2",), ("<ul", "<li"), ("<ol", "<li"), ("<blockquote", "<p"), ("<pre",),
-              ("<table", "<tr", "<td"), ("<div",), ("<section", "<p"), ("<p",), ("<ul", "<li"), ("<ul", "<li"))
+              ("<table", "<tr", "<td"), ("<header@article", "<h1"), ("<header@article", "<p"), ("<div",), ("<section", "<p"), ("<p",), ("<ul", "<li"), ("<ul", "<li"))
     return [Block(b.text, (*shell, *leaves[int(rng.integers(len(leaves)))]), b.linked) if weak_label(b) and rng.random() < 0.7 else b
             for b in out]
 
