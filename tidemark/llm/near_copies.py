@@ -4,8 +4,10 @@ Candidates are the neighbours of SimHash fingerprints, found through vantage-poi
 64-bit fingerprint within 3 bits misses most pairs that share only four fifths of their shingles, from the
 least shingle hashes of each document. First, documents that share one of them are led to the most central document among
 them, and to those of two finer random divisions. That joins most of a group through few pairs, but not versions that are unlike
-each hub; so then all documents that share a hash and are still in different classes are compared, in blocks of bounded
-size: first each with the likest one, then all pairs that are left. Last come all pairs of neighbours by fingerprint that are
+each hub. Documents that then share least hashes with another class are compared by an exact prefix join: each is found by its
+rarest shingles alone, and a pair is a candidate only if what follows their first common one is enough for the similarity.
+Text that many documents share is not rare, so it makes no pairs. First each meets the likest ones, then all pairs in
+different classes that are left are checked, in blocks of bounded size. Last come all pairs of neighbours by fingerprint that are
 still in different classes, whatever their least hashes. Every candidate pair is checked exactly on whole
 shingle sets, and classes are the connected components of the pairs that hold.
 
@@ -19,16 +21,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import each_text, lower_words, new_folder, pack, remove, row_key, unpack, written
 from tidemark.llm.components import connected
 from tidemark.llm.simhash import fingerprint, neighbours, shingle_hashes
 
-#: Least hashes kept of each document; of those of a pair this share must be common before it is checked.
+#: Least hashes kept of each document; of those of a pair this share must be common before it is checked with a hub.
 LEAST_HASHES, COMMON_SHARE = 16, 0.375
-#: Members of a key that are compared with as many others at once, and rows of such blocks that a task takes together.
+#: Members of a shingle that are compared with as many others at once, and rows of such blocks that a task takes together.
 BLOCK_ROWS, CELL_ROWS = 1_000, 8_000
 ROWS = "key bigint, doc_id bigint, content bigint, fp bigint, size int, least array<bigint>"
 
@@ -70,7 +72,7 @@ def fingerprint_pairs(rooted: DataFrame, radius: int, similarity: float) -> Data
 def shared_hashes(classes: DataFrame, folder: str) -> DataFrame:
     """(content, h, central) of the least hashes that contents share."""
     keyed = classes.select("content", F.explode("least").alias("h"))
-    shared = keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/shared")
     keyed = written(keyed.join(shared, "h"), f"{folder}/keyed")
     central = keyed.groupBy("content").agg(F.sum(F.log("n")).alias("central"))
     return written(keyed.join(central, "content").select("content", "h", "central"), f"{folder}/central")
@@ -89,82 +91,96 @@ def hub_pairs(keyed: DataFrame) -> DataFrame:
 
 
 def enough_hashes(keyed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The contents of ``keyed`` with so many of its hashes that :func:`likely` can hold for one of their pairs."""
+    """The contents of ``keyed`` with so many of its hashes that one of their pairs can be similar."""
     counts = keyed.groupBy("content").agg(F.count("*").alias("n"))
     sizes = classes.select("content", F.size("least").alias("all"))
-    # the other content of a pair has at least ``similarity`` times as many least hashes
-    return counts.join(sizes, "content").where(F.col("n") >= COMMON_SHARE * similarity * F.col("all")).select("content")
+    # the other content of a pair has at least ``similarity`` times as many least hashes; two thirds leave a margin
+    return counts.join(sizes, "content").where(F.col("n") >= COMMON_SHARE * 2 / 3 * similarity * F.col("all")).select("content")
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its count."""
-    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+def open_contents(keyed: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The contents with enough least hashes that contents of another root (content, root) have too."""
+    rooted = keyed.select("content", "h").join(roots, "content")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    return enough_hashes(rooted.join(mixed, "h", "left_semi"), classes, similarity)
+
+
+def rare_beginnings(texts: DataFrame, classes: DataFrame, words: int, similarity: float, folder: str) -> DataFrame:
+    """(content, h, size, place): of each of ``texts`` the rarest shingles, so many that similar texts have one in common.
+
+    Shingles are ordered by the number of ``texts`` that have them, the same way for all. Of two sets with overlap o, the first
+    size - o + 1 of each meet; similar ones overlap in at least ``similarity`` times the size. Shingles of one text
+    alone come first and are only counted."""
+    def stream(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.unique(shingle_hashes(lower_words(t), words)).view(np.int64) for t in each_text(part, "text")]
+                content = np.repeat(part.column("content").to_numpy(), list(map(len, sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(np.concatenate(sets))], names=["content", "h"])
+
+    rows = written(texts.select("content", "text").mapInArrow(stream, "content bigint, h bigint"), f"{folder}/shingles")
+    # written, so that the join below can split a hot shingle
+    counts = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/counts")
+    of_text = Window.partitionBy("content")
+    ranked = rows.join(counts, "h").select(
+        "content", "h", F.row_number().over(of_text.orderBy("n", "h")).alias("rank"), F.count("*").over(of_text).alias("shared"))
+    placed = ranked.join(classes.select("content", "size"), "content").withColumn("place", F.expr("int(size - shared + rank - 1)"))
+    first = placed.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - F.lit(1e-6)))
+    return written(first.select("content", "h", "size", "place"), f"{folder}/beginnings")
 
 
 def pairs_of_cell(cell: pa.Table, similarity: float, likest: bool) -> pa.Table:
-    """Likely pairs (a, b) of different roots in the blocks of a cell: of each block's asking rows with its others.
+    """Pairs (a, b, score) of different roots in the blocks of a cell that can be similar: of each block's asking rows with its others.
 
-    A pair is left to the block of the least hash that both have; with ``likest`` each asking row gives one pair a block."""
-    h, by, to, content, root, size = (cell.column(c).to_numpy() for c in ("h", "by", "to", "content", "root", "size"))
+    If the block's shingle is the first that both have, no more than what follows it can be common; if it is not, the pair
+    is also in the block of the first. With ``likest`` each asking row gives one pair a block."""
+    h, by, to, content, root, size, place = (cell.column(c).to_numpy() for c in ("h", "by", "to", "content", "root", "size", "place"))
     asks, lone = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "lone"))
-    lists = pa.concat_arrays(cell.column("least").chunks) if len(cell) else pa.array([], pa.list_(pa.int64()))
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    lengths = np.diff(at)
     order = np.lexsort((to, by, h))
     new = (np.diff(h[order]) != 0) | (np.diff(by[order]) != 0) | (np.diff(to[order]) != 0)
-    out = []
+    left, share, out = (size - place).astype(np.float64), similarity / (1 + similarity), []
     for block in np.split(order, np.flatnonzero(new) + 1):
         asking, others = block[asks[block]], block[~asks[block]]
         if not len(asking) or not len(others):
             continue
-        hashes = flat[ranges(at[others], lengths[others])]
-        by_hash = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[by_hash], np.repeat(np.arange(len(others)), lengths[others])[by_hash]
-        for part in np.split(asking, range(64, len(asking), 64)):
-            asked = flat[ranges(at[part], lengths[part])]
-            low = np.searchsorted(hashes, asked)
-            found = np.searchsorted(hashes, asked, "right") - low
-            place = np.repeat(np.repeat(np.arange(len(part)), lengths[part]), found) * len(others) + owner[ranges(low, found)]
-            earlier = np.repeat(asked < h[block[0]], found)
-            shape = len(part), len(others)
-            common = np.bincount(place, minlength=shape[0] * shape[1]).reshape(shape)
-            good = np.bincount(place[earlier], minlength=shape[0] * shape[1]).reshape(shape) == 0
-            good &= common >= COMMON_SHARE * np.minimum.outer(lengths[part], lengths[others])
-            good &= np.minimum.outer(size[part], size[others]) >= similarity * np.maximum.outer(size[part], size[others])
-            good &= root[part][:, None] != root[others][None, :]
+        for part in np.split(asking, range(256, len(asking), 256)):
+            spare = np.minimum.outer(left[part], left[others]) - share * np.add.outer(size[part], size[others])
+            good = (spare >= -1e-6) & (root[part][:, None] != root[others][None, :])
             if likest:
                 a = np.flatnonzero(good.any(1))
-                b = np.where(good, common, -1)[a].argmax(1)
+                b = np.where(good, spare, -np.inf)[a].argmax(1)
             else:  # two lone rows ask each other
                 a, b = np.nonzero(good & ~(lone[others][None, :] & (content[part][:, None] < content[others][None, :])))
-            out.append((content[part[a]], content[others[b]]))
-    a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in out)]) for i in (0, 1))
-    return pa.table({"a": a, "b": b})
+            out.append((content[part[a]], content[others[b]], spare[a, b]))
+    a, b, score = (np.concatenate([np.empty(0, t), *(p[i] for p in out)]) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    return pa.table({"a": a, "b": b, "score": score})
 
 
-def open_pairs(keyed: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, likest: bool, folder: str) -> DataFrame:
-    """Candidate pairs of contents that share a least hash and have different ``roots`` (content, root).
+def open_pairs(beginnings: DataFrame, roots: DataFrame, similarity: float, likest: bool, folder: str) -> DataFrame:
+    """Candidate pairs of contents that have one of their rarest shingles in common and different ``roots`` (content, root).
 
-    Of a key, the members of the root that most have need not meet each other: the lone others ask all
-    members, in blocks of both."""
-    rooted = keyed.select("content", "h").join(roots, "content")
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    rooted = written(rooted.join(mixed, "h"), f"{folder}/mixed")
-    rooted = rooted.join(enough_hashes(rooted, classes, similarity), "content", "left_semi")
+    Of a shingle, the members of the root that most have need not meet each other: the lone others ask all
+    members, in blocks of both. With ``likest`` each content gives a few pairs in all."""
+    rooted = written(beginnings.join(roots, "content"), f"{folder}/rooted")
     of_key = rooted.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     parts = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
     of_key = of_key.select("h", "main", parts(F.col("n") - F.col("most")).alias("asking"), parts(F.col("n")).alias("asked"))
-    rows = rooted.join(of_key, "h").join(classes.select("content", "size", "least"), "content")
-    rows = written(rows.withColumn("lone", F.col("root") != F.col("main")), f"{folder}/open")
+    rows = rooted.join(written(of_key, f"{folder}/keys"), "h")
+    rows = written(rows.withColumn("lone", F.col("root") != F.col("main")).drop("main"), f"{folder}/open")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one_of = lambda n: F.pmod(F.xxhash64("content"), F.col(n)).cast("int")
     sent = rows.withColumn("asks", F.lit(False)).withColumn("to", one_of("asked")).withColumn("by", all_of("asking")).unionByName(
         rows.where("lone").withColumn("asks", F.lit(True)).withColumn("by", one_of("asking")).withColumn("to", all_of("asked")))
     copies = rows.agg(F.sum(F.col("asking") + F.when(F.col("lone"), F.col("asked")).otherwise(0)).alias("n")).first().n or 0
     cells = max(1, -(-copies // CELL_ROWS))
-    sent = sent.select(F.pmod(F.xxhash64("h", "by", "to"), F.lit(cells)).alias("cell"), "h", "by", "to", "asks", "lone", "content", "root", "size", "least")
-    return sent.groupBy("cell").applyInArrow(lambda cell: pairs_of_cell(cell, similarity, likest), "a bigint, b bigint")
+    sent = sent.select(F.pmod(F.xxhash64("h", "by", "to"), F.lit(cells)).alias("cell"),
+                       "h", "by", "to", "asks", "lone", "content", "root", "size", "place")
+    pairs = sent.groupBy("cell").applyInArrow(lambda cell: pairs_of_cell(cell, similarity, likest), "a bigint, b bigint, score double")
+    if likest:
+        pairs = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(4)).alias("part")).agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -222,9 +238,6 @@ def near_copy_rows(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
     texts = written(texts_of_contents(enough_hashes(keyed, classes, similarity)), f"{folder}/texts")
 
-    def candidates(pairs: DataFrame, step: str) -> DataFrame:
-        return written(likely(pairs, classes, similarity), f"{folder}/pairs-{step}")
-
     def holding(pairs: DataFrame, step: str, texts: DataFrame) -> DataFrame:
         met = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
         of_pairs = texts.join(met, "content", "left_semi")
@@ -235,12 +248,14 @@ def near_copy_rows(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         rooted = classes.join(roots, classes.content == roots.node, "left")
         return written(rooted.select("content", "first", F.coalesce("root", "content").alias("root")), f"{folder}/roots-{step}")
 
-    pairs = candidates(hub_pairs(keyed), "hubs")
+    pairs = written(likely(hub_pairs(keyed), classes, similarity), f"{folder}/pairs-hubs")
     links = holding(pairs, "hubs", texts)
     rooted = with_roots(links, "hubs")
+    opened = open_contents(keyed, classes, rooted.select("content", "root"), similarity)
+    beginnings = rare_beginnings(texts.join(opened, "content", "left_semi"), classes, words, similarity, folder)
     for step in ("likest", "all"):
-        found = open_pairs(keyed, classes, rooted.select("content", "root"), similarity, step == "likest", f"{folder}/{step}")
-        pairs = candidates(found, step)
+        found = open_pairs(beginnings, rooted.select("content", "root"), similarity, step == "likest", f"{folder}/{step}")
+        pairs = written(found, f"{folder}/pairs-{step}")
         if pairs.isEmpty():  # without a likest one there is no other
             break
         links = links.unionByName(holding(pairs, step, texts))
