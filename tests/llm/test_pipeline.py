@@ -89,6 +89,30 @@ def test_versions_of_versions_are_one_class(spark, documents, prose, monkeypatch
         assert {r.doc_id for r in drop_near_copies(docs).collect()} == want
 
 
+def test_rarest_shingles_find_every_similar_pair(spark, prose, tmp_path, monkeypatch):
+    """Documents of one passage and own words, copies with edits, short texts: all similar pairs are candidates, few others are."""
+    rng, passage = random.Random(12), prose(800, 150, 6000)
+    texts = [passage + " " + " ".join(f"own{i}x{j}" for j in range(50)) for i in range(60)]  # similarity 0.58
+    for i in range(8):
+        base = prose(810 + i, rng.choice((20, 90, 400)), 6000)
+        texts += [changed(rng, base, rng.choice((0.005, 0.01, 0.02, 0.04))) for _ in range(12)]
+    texts += ["a b c d e f", "a b c d e g", "a b c d e f h", "one two"]
+    sets = [shingles(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    rows = [(i, t, len(s), i) for i, (t, s) in enumerate(zip(texts, sets))]
+    frame = spark.createDataFrame(rows, "content bigint, text string, size int, root bigint").repartition(3)
+    folder = f"file://{tmp_path}"
+    begun = near_copies.rare_beginnings(frame.select("content", "text"), frame, 5, 0.8, folder)
+    for size in (1_000, 7):
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", size)
+        pairs = near_copies.open_pairs(begun, frame.select("content", "root"), 0.8, False, f"{folder}/all{size}").collect()
+        got = {(r.a, r.b) for r in pairs}
+        assert want <= got and len(got) == len(pairs) < 2 * len(want) < 600  # of 13,000 pairs
+        assert not any(a < 60 for a, b in got)  # what all share is not rare
+    one = near_copies.open_pairs(begun, frame.select("content", "root"), 0.8, True, f"{folder}/likest")
+    assert one.count() <= 4 * len(texts) and {(r.a, r.b) for r in one.collect()} <= got
+
+
 def test_fingerprint_pairs_are_neighbours(spark):
     """B and C are near, and so are A and B, but A and C are not; D has the fingerprint of B."""
     rows = [(1, 0b0, 9, 1), (2, 0b111, 10, 2), (3, 0b111111, 10, 3), (4, 0b111, 10, 4), (5, 0b111, 40, 5), (6, 0b111, 10, 2)]

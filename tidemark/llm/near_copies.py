@@ -5,7 +5,8 @@ Candidates are the neighbours of SimHash fingerprints, found through vantage-poi
 least shingle hashes of each document. First, documents that share one of them are led to the most central document among
 them, and to those of two finer random divisions. That joins most of a group through few pairs, but not versions that are unlike
 each hub. Documents that then share least hashes with another class are compared by an exact prefix join: each is found by its
-rarest shingles alone, and a pair is a candidate only if what follows their first common one is enough for the similarity.
+rarest shingles alone, and a pair is a candidate only if what follows their first common one is enough for the similarity and
+counts of their shingles by hash do not differ too much for it.
 Text that many documents share is not rare, so it makes no pairs. First each meets the likest ones, then all pairs in
 different classes that are left are checked, in blocks of bounded size. Last come all pairs of neighbours by fingerprint that are
 still in different classes, whatever their least hashes. Every candidate pair is checked exactly on whole
@@ -32,6 +33,8 @@ from tidemark.llm.simhash import fingerprint, neighbours, shingle_hashes
 LEAST_HASHES, COMMON_SHARE = 16, 0.375
 #: Members of a shingle that are compared with as many others at once, and rows of such blocks that a task takes together.
 BLOCK_ROWS, CELL_ROWS = 1_000, 8_000
+#: Counts of a document's shingles, by the low bits of their hashes; more than 255 count as 255.
+COUNTS = 256
 ROWS = "key bigint, doc_id bigint, content bigint, fp bigint, size int, least array<bigint>"
 
 
@@ -106,7 +109,7 @@ def open_contents(keyed: DataFrame, classes: DataFrame, roots: DataFrame, simila
 
 
 def rare_beginnings(texts: DataFrame, classes: DataFrame, words: int, similarity: float, folder: str) -> DataFrame:
-    """(content, h, size, place): of each of ``texts`` the rarest shingles, so many that similar texts have one in common.
+    """(content, h, size, place, counts): of each of ``texts`` the rarest shingles, so many that similar texts have one in common.
 
     Shingles are ordered by the number of ``texts`` that have them, the same way for all. Of two sets with overlap o, the first
     size - o + 1 of each meet; similar ones overlap in at least ``similarity`` times the size. Shingles of one text
@@ -117,9 +120,13 @@ def rare_beginnings(texts: DataFrame, classes: DataFrame, words: int, similarity
                 part = batch.slice(at, 64)
                 sets = [np.unique(shingle_hashes(lower_words(t), words)).view(np.int64) for t in each_text(part, "text")]
                 content = np.repeat(part.column("content").to_numpy(), list(map(len, sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(np.concatenate(sets))], names=["content", "h"])
+                # once a text, with its first shingle
+                counts = [c for s in sets for c in [shingle_counts(s), *[None] * (len(s) - 1)][:len(s)]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(content), pa.array(np.concatenate(sets)), pa.array(counts, pa.binary())], names=["content", "h", "counts"])
 
-    rows = written(texts.select("content", "text").mapInArrow(stream, "content bigint, h bigint"), f"{folder}/shingles")
+    rows = texts.select("content", "text").mapInArrow(stream, "content bigint, h bigint, counts binary")
+    rows = written(rows, f"{folder}/shingles")
     # written, so that the join below can split a hot shingle
     counts = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/counts")
     of_text = Window.partitionBy("content")
@@ -127,16 +134,31 @@ def rare_beginnings(texts: DataFrame, classes: DataFrame, words: int, similarity
         "content", "h", F.row_number().over(of_text.orderBy("n", "h")).alias("rank"), F.count("*").over(of_text).alias("shared"))
     placed = ranked.join(classes.select("content", "size"), "content").withColumn("place", F.expr("int(size - shared + rank - 1)"))
     first = placed.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - F.lit(1e-6)))
-    return written(first.select("content", "h", "size", "place"), f"{folder}/beginnings")
+    of_content = rows.where("counts IS NOT NULL").select("content", "counts")
+    return written(first.select("content", "h", "size", "place").join(of_content, "content"), f"{folder}/beginnings")
+
+
+def shingle_counts(hashes: np.ndarray) -> bytes:
+    return np.bincount(hashes & (COUNTS - 1), minlength=COUNTS).clip(max=255).astype(np.uint8).tobytes()
+
+
+def least_difference(counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of rows ``a`` and ``b`` differ in at least: by so much their counts do."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 8_192):
+        part = slice(at, at + 8_192)
+        out[part] = np.abs(counts[a[part]] - counts[b[part]]).sum(1, dtype=np.int64)
+    return out
 
 
 def pairs_of_cell(cell: pa.Table, similarity: float, likest: bool) -> pa.Table:
     """Pairs (a, b, score) of different roots in the blocks of a cell that can be similar: of each block's asking rows with its others.
 
     If the block's shingle is the first that both have, no more than what follows it can be common; if it is not, the pair
-    is also in the block of the first. With ``likest`` each asking row gives one pair a block."""
+    is also in the block of the first. What their counts differ in cannot be common either. With ``likest`` each asking row gives one pair a block."""
     h, by, to, content, root, size, place = (cell.column(c).to_numpy() for c in ("h", "by", "to", "content", "root", "size", "place"))
     asks, lone = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "lone"))
+    counts = np.frombuffer(b"".join(cell.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
     order = np.lexsort((to, by, h))
     new = (np.diff(h[order]) != 0) | (np.diff(by[order]) != 0) | (np.diff(to[order]) != 0)
     left, share, out = (size - place).astype(np.float64), similarity / (1 + similarity), []
@@ -145,14 +167,21 @@ def pairs_of_cell(cell: pa.Table, similarity: float, likest: bool) -> pa.Table:
         if not len(asking) or not len(others):
             continue
         for part in np.split(asking, range(256, len(asking), 256)):
-            spare = np.minimum.outer(left[part], left[others]) - share * np.add.outer(size[part], size[others])
-            good = (spare >= -1e-6) & (root[part][:, None] != root[others][None, :])
+            total = np.add.outer(size[part], size[others])
+            good = np.minimum.outer(left[part], left[others]) - share * total >= -1e-6
+            good &= root[part][:, None] != root[others][None, :]
+            # two lone rows ask each other
+            good &= likest | ~(lone[others][None, :] & (content[part][:, None] < content[others][None, :]))
+            a, b = np.nonzero(good)
+            total, a, b = total[a, b], part[a], others[b]
+            differ = least_difference(counts, a, b)
+            near = differ <= (1 - 2 * share) * total + 1e-6
+            a, b, score = a[near], b[near], 1 - differ[near] / total[near]
             if likest:
-                a = np.flatnonzero(good.any(1))
-                b = np.where(good, spare, -np.inf)[a].argmax(1)
-            else:  # two lone rows ask each other
-                a, b = np.nonzero(good & ~(lone[others][None, :] & (content[part][:, None] < content[others][None, :])))
-            out.append((content[part[a]], content[others[b]], spare[a, b]))
+                best = np.lexsort((-score, a))
+                best = best[np.diff(a[best], prepend=-1) != 0]
+                a, b, score = a[best], b[best], score[best]
+            out.append((content[a], content[b], score))
     a, b, score = (np.concatenate([np.empty(0, t), *(p[i] for p in out)]) for i, t in enumerate((np.int64, np.int64, np.float64)))
     return pa.table({"a": a, "b": b, "score": score})
 
@@ -176,7 +205,7 @@ def open_pairs(beginnings: DataFrame, roots: DataFrame, similarity: float, likes
     copies = rows.agg(F.sum(F.col("asking") + F.when(F.col("lone"), F.col("asked")).otherwise(0)).alias("n")).first().n or 0
     cells = max(1, -(-copies // CELL_ROWS))
     sent = sent.select(F.pmod(F.xxhash64("h", "by", "to"), F.lit(cells)).alias("cell"),
-                       "h", "by", "to", "asks", "lone", "content", "root", "size", "place")
+                       "h", "by", "to", "asks", "lone", "content", "root", "size", "place", "counts")
     pairs = sent.groupBy("cell").applyInArrow(lambda cell: pairs_of_cell(cell, similarity, likest), "a bigint, b bigint, score double")
     if likest:
         pairs = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(4)).alias("part")).agg(F.max_by("b", F.struct("score", "b")).alias("b"))
