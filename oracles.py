@@ -756,6 +756,19 @@ ORACLES["ck_foreign_key"] = all_of(
     [orphan(t, c, *_PARENT.get(c, ("calendar", "date_key")))
      for t, (_, keys) in _FACT_KEYS.items() for c in f"{keys} batch_id".split()]
     + [orphan(t, "batch_id", "batches", "batch_id") for t in _IDS])
+ORACLES["ck_source_foreign_key"] = all_of(
+    count_where(f"{t}.{c}", f"src_{t}",
+                f"{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{src_{parent}}} parent "
+                f"WHERE CAST(parent.{c} AS VARCHAR) = CAST({{src_{t}}}.{c} AS VARCHAR))")
+    for t, c, parent in (
+        ("orders", "customer_id", "customers"), ("orders", "restaurant_id", "restaurants"),
+        ("order_items", "order_id", "orders"), ("payments", "order_id", "orders"),
+        ("deliveries", "order_id", "orders"), ("deliveries", "driver_id", "drivers")))
+ORACLES["ck_identifier"] = all_of(
+    [count_where(f"{t} identifier", _WAREHOUSE[t], f"{_IDS[t]}_id % 7 = 3 AND {_IDS[t]}_id > 0")
+     for t in ("dim_customer", "dim_restaurant", "dim_driver")]
+    + [count_where("dim_menu_item identifier", "hist_menu_item", "menu_item_key % 11 = 4"),
+       count_where("dim_menu_item restaurant", "hist_menu_item", "restaurant_id < 3")])
 ORACLES["ck_valid_period"] = all_of(
     s for t in _IDS for s in (
         count_where(f"{t} valid period", _WAREHOUSE[t],

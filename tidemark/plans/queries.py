@@ -751,6 +751,26 @@ def ck_foreign_key(spark, d):
     return W.foreign_keys(tables)
 
 
+@query
+def ck_source_foreign_key(spark, d):
+    return W.source_foreign_keys({s: table(spark, d, f"src_{s}") for s in (
+        "customers", "restaurants", "drivers", "orders", "order_items", "payments", "deliveries")})
+
+
+@query
+def ck_identifier(spark, d):
+    """Dimensions with some identifiers negated or emptied."""
+    tables = _tables(spark, d, *_DIMENSIONS)
+    for t in ("dim_customer", "dim_restaurant", "dim_driver"):
+        name = W.DIMENSION_OF[t].identifier
+        tables[t] = tables[t].withColumn(name, F.when(F.col(name) % 7 == 3, -F.col(name)).otherwise(F.col(name)))
+    tables["dim_menu_item"] = tables["dim_menu_item"].withColumns({
+        "menu_item_id": F.when(F.col("menu_item_key") % 11 == 4, F.lit("")).otherwise(F.col("menu_item_id")),
+        "restaurant_id": F.col("restaurant_id") - 3,
+    })
+    return W.identifiers(tables)
+
+
 @query
 def ck_valid_period(spark, d):
     return W.valid_period(_tables(spark, d, *_DIMENSIONS))

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import (
+    Key,
+    Reference,
     combine,
-    missing_references,
+    key_checks,
+    reference_checks,
     repeated_keys,
     row_checks,
     shared_values,
@@ -146,26 +149,26 @@ def not_null(tables: Tables) -> DataFrame:
 
 
 def unique(tables: Tables) -> DataFrame:
-    checks = []
+    keys = []
     for t in _present(tables, DIMENSION_OF):
         d = DIMENSION_OF[t]
-        checks.append(repeated_keys(tables[t], [d.key], f"{t} primary key"))
-        checks.append(repeated_keys(tables[t], [d.identifier, "valid_from"], f"{t} version"))
+        keys.append(Key(f"{t} primary key", t, (d.key,)))
+        keys.append(Key(f"{t} version", t, (d.identifier, "valid_from")))
     for t in _present(tables, FACT_OF):
         f = FACT_OF[t]
         if f.key in tables[t].columns:
-            checks.append(repeated_keys(tables[t], [f.key], f"{t} primary key"))
-        checks.append(repeated_keys(tables[t], [f.identifier], f"{t} source id"))
+            keys.append(Key(f"{t} primary key", t, (f.key,)))
+        keys.append(Key(f"{t} source id", t, (f.identifier,)))
     for t, key in (("dim_date", "date_key"), ("dim_payment_method", "payment_method_code"),
                    ("etl_batch", "batch_id")):
         if t in tables:
-            checks.append(repeated_keys(tables[t], [key], f"{t} {key}"))
-    return combine(checks)
+            keys.append(Key(f"{t} {key}", t, (key,)))
+    return key_checks(tables, keys)
 
 
 def foreign_keys(tables: Tables) -> DataFrame:
     """Fact keys that point nowhere: dimensions, dates, methods, batches."""
-    checks = []
+    references = []
     for t in _present(tables, FACT_OF):
         fact = FACT_OF[t]
         parents = [(DIMENSIONS[n].key, DIMENSIONS[n].table, DIMENSIONS[n].key)
@@ -174,15 +177,40 @@ def foreign_keys(tables: Tables) -> DataFrame:
         if fact.methods:
             parents.append(("payment_method_key", "dim_payment_method", "payment_method_key"))
         parents.append(("batch_id", "etl_batch", "batch_id"))
-        checks += [
-            missing_references(tables[t], column, tables[parent], parent_key, f"{t}.{column}")
-            for column, parent, parent_key in parents if parent in tables
-        ]
-    for t in _present(tables, DIMENSION_OF):
-        if "etl_batch" in tables:
-            checks.append(missing_references(
-                tables[t], "batch_id", tables["etl_batch"], "batch_id", f"{t}.batch_id"))
-    return combine(checks)
+        references += [Reference(f"{t}.{column}", t, column, parent, parent_key)
+                       for column, parent, parent_key in parents if parent in tables]
+    if "etl_batch" in tables:
+        references += [Reference(f"{t}.batch_id", t, "batch_id", "etl_batch", "batch_id")
+                       for t in _present(tables, DIMENSION_OF)]
+    return reference_checks(tables, references)
+
+
+def source_foreign_keys(sources: Tables) -> DataFrame:
+    """Source rows whose customer, restaurant, order or driver is not among the source rows."""
+    # Source tables and the tables their identifiers refer to.
+    parents = {
+        "orders": [("customer_id", "customers"), ("restaurant_id", "restaurants")],
+        "order_items": [("order_id", "orders")],
+        "payments": [("order_id", "orders")],
+        "deliveries": [("order_id", "orders"), ("driver_id", "drivers")],
+    }
+    return reference_checks(sources, [
+        Reference(f"{t}.{column}", t, column, parent, column)
+        for t in _present(sources, parents) for column, parent in parents[t] if parent in sources
+    ])
+
+
+def identifiers(tables: Tables) -> DataFrame:
+    """Source identifiers of the dimensions: not negative, not empty."""
+    # The identifiers a dimension carries.
+    conditions = {
+        "dim_customer": {"dim_customer identifier": F.col("customer_id") < 0},
+        "dim_restaurant": {"dim_restaurant identifier": F.col("restaurant_id") < 0},
+        "dim_driver": {"dim_driver identifier": F.col("driver_id") < 0},
+        "dim_menu_item": {"dim_menu_item identifier": F.length("menu_item_id") == 0,
+                          "dim_menu_item restaurant": F.col("restaurant_id") < 0},
+    }
+    return combine([row_checks(tables[t], conditions[t]) for t in _present(tables, conditions)])
 
 
 def valid_period(tables: Tables) -> DataFrame:
