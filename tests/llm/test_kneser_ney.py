@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,42 @@ def test_reference_is_every_trusted_document_outside_the_training_sample(spark,
     assert all(r.keep for r in rows)
 
 
+def test_every_trusted_document_of_the_half_is_counted(spark, documents, prose):
+    """The model used to stop at 20,000 documents."""
+    texts = [prose(i % 400, 3) for i in range(41_500)]
+    labels = spark.range(41_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = [r.id for r in spark.range(41_500).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).collect()]
+    assert len(half) > 20_000
+    rows = classify_quality(documents(*texts), labels, pull=0.0).where("doc_id < 400").collect()
+    want = brute([texts[i] for i in half], texts[:400])
+    assert {r.doc_id: math.log(r.perplexity) for r in rows} == pytest.approx({i: -p / 4 for i, p in enumerate(want)}, rel=1e-5)
+
+
+def test_all_documents_meet_each_shard_of_the_model_once(spark, documents, prose, monkeypatch):
+    """Reading used to grow with blocks times shards."""
+    from tidemark.llm import kneser_ney, ngram_blocks
+
+    monkeypatch.setattr(kneser_ney, "KEYS_PER_SHARD", 500)
+    train = [prose(i, 60, 90) for i in range(30)]
+    texts = [prose(i, 50, 120) for i in range(60)]
+    docs = documents(*texts).withColumn("key", F.xxhash64("doc_id"))
+    got = log_probabilities(docs.repartition(5), documents(*train)).orderBy("doc_id").collect()
+    assert [r.log_prob for r in got] == pytest.approx(brute(train, texts), rel=1e-5)
+    reads = spark.sparkContext.accumulator(0)
+    shard = kneser_ney.Model.shard
+
+    def counted(self, number):
+        reads.add(1)
+        return shard(self, number)
+
+    monkeypatch.setattr(kneser_ney.Model, "shard", counted)
+    join = kneser_ney.look_up(kneser_ney.Model("file:/nowhere", 7, 0.1))
+    blocks = ngram_blocks.token_blocks(docs.repartition(5), ["doc_id", "key"], tokens_per_block=200)
+    asked = [r.asDict() for r in ngram_blocks.questions(blocks, 7).where("shard = 3").collect()]
+    assert len(asked) > 5
+    assert join(pa.Table.from_pylist(asked)).num_rows == len(asked) and reads.value == 1
+
+
 def test_without_labels_or_rows(spark, documents):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert classify_quality(documents("a b", None), labels).where("keep").count() == 2

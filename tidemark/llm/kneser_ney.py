@@ -1,14 +1,16 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a pair model of trusted documents, a bounded sample of the labelled ones
-(``max_training_docs``, by id hash). Its counts are Spark aggregates: pairs, then per first word
+The model is a pair model of all trusted documents of one half of the ids, by hash; the other half is kept for the
+thresholds, which need text that the model has not seen. Its counts are Spark aggregates: pairs, then per first word
 the number of pairs seen once, twice and more, and per second word the number of words before it. They
-are cut into shards by key hash and written to the shared folder. Documents are not shuffled: a task joins the distinct
-words and pairs of some of its documents with one shard after another, so neither side is ever whole in one task, and
-disk and shuffle grow with the bounded training sample, not with the text. Keys are 64-bit hashes, compared whole.
+are cut into shards by key hash and written to the shared folder. Documents are gathered into blocks (see
+:mod:`ngram_blocks`); a block sends its distinct words and pairs to their shards, each shard of the model is read once and answers
+all blocks, and the answers go back to the blocks. So work grows with text and model, not with their product, and neither
+is ever whole in one task. That is done for ``SLICES`` parts of the documents in turn, so that blocks, questions
+and answers of only one part lie on disk at a time. Keys are 64-bit hashes, compared whole.
 
 A document goes when its perplexity exceeds a quantile of its language: of trusted labelled documents that
-the model has not seen (all but the training sample). Perplexity is that of the text's tokens
+the model has not seen (all but the training documents). Perplexity is that of the text's tokens
 pulled towards the language's median by ``pull`` tokens, so that a few words do not decide.
 
 Edge cases: null and empty texts are the end token alone; a null language is a language of its
@@ -26,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_kept, each_text, file_system, lower_words, new_folder, remove, row_key, written
-from tidemark.llm.ngram_blocks import END_HASH, pair_key, word_hash
+from tidemark.llm.common import file_system, new_folder, pack, remove, row_key, shuffle_files_removed, written
+from tidemark.llm.ngram_blocks import Block, answered, keys_of, pair_key, placed, questions, token_blocks
 
-#: Model keys that a task holds at a time, and tokens of documents that it asks about together.
-KEYS_PER_SHARD, TOKENS_AT_ONCE = 500_000, 2_000_000
+#: Model keys and tokens of documents that a task holds at a time, and parts of the documents that are asked about one after another.
+KEYS_PER_SHARD, BLOCK_TOKENS, SLICES = 500_000, 400_000, 4
+#: Training ids up to which they are sent to every executor, so that only texts of training documents leave their place.
+MOST_SENT_IDS = 4_000_000
+ANSWERS = "block string, shard int, context binary, gamma binary, lower binary, pairs binary"
 LOG = "doc_id bigint, key bigint, n_tokens bigint, log_prob double"
 
 
@@ -143,128 +148,94 @@ class Model:
         return out
 
 
-class _Asked:
-    """Keys in the order of their shards, and the answers to them in their own order."""
-
-    def __init__(self, keys: np.ndarray, shards: int, **defaults: float):
-        shard = (keys % np.uint64(shards)).astype(np.int64)
-        self.keys, self.order = keys, np.argsort(shard, kind="stable")
-        self.bounds = np.searchsorted(shard[self.order], np.arange(shards + 1))
-        self.answers = {name: np.full(len(keys), value, np.float32) for name, value in defaults.items()}
-
-    def join(self, shard: int, known: np.ndarray, values: dict[str, np.ndarray]) -> None:
-        mine = self.order[self.bounds[shard]:self.bounds[shard + 1]]
-        if not len(mine) or not len(known):
-            return
-        at = np.minimum(np.searchsorted(known, self.keys[mine]), len(known) - 1)
-        hit = known[at] == self.keys[mine]
-        for name, column in values.items():
-            if name in self.answers:
-                self.answers[name][mine[hit]] = column[at[hit]]
-
-
-class _Group:
-    """Some documents' tokens as numbers, with each number's hash (0: the end token)."""
-
-    def __init__(self):
-        self.vocabulary: dict[bytes, int] = {}
-        self.tokens: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, text: str) -> None:
-        words = lower_words(text)
-        for word in set(words).difference(self.vocabulary):
-            self.vocabulary[word] = len(self.vocabulary) + 1
-        ids = np.zeros(len(words) + 1, np.int32)
-        ids[:-1] = np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
-        self.tokens.append(ids)
-        self.size += len(ids)
-
-    def score(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Number of tokens and natural log probability of each document."""
-        lengths = np.array([len(t) for t in self.tokens], np.int64)
-        tokens, starts = np.concatenate(self.tokens), np.cumsum(lengths) - lengths
-        hashes = np.array([END_HASH, *map(word_hash, self.vocabulary)], np.uint64)
-        self.vocabulary, self.tokens = {}, []
-        follows = np.ones(len(tokens), bool)
-        follows[starts] = False
-        follows = np.flatnonzero(follows)
-        before = tokens[follows - 1]
-        pairs, place = np.unique(before.astype(np.int64) * len(hashes) + tokens[follows], return_inverse=True)
-        first, second = np.divmod(pairs, len(hashes))
-        words = _Asked(hashes, model.shards, count=0.0, gamma=1.0, lower=model.floor)
-        seen = _Asked(pair_key(hashes[first], hashes[second]), model.shards, count=0.0)
-        for number in range(model.shards):
-            shard = model.shard(number)
-            for asked, (keys, *values) in ((words, shard[False]), (seen, shard[True])):
-                asked.join(number, keys, dict(zip(("count", "gamma", "lower"), values)))
-        p = words.answers["lower"].astype(np.float64)[tokens]
-        context, gamma = (words.answers[c].astype(np.float64)[before] for c in ("count", "gamma"))
-        p[follows] = seen.answers["count"][place] / np.maximum(context, 1.0) + gamma * p[follows]
-        return lengths, np.add.reduceat(np.log(p), starts)
+def look_up(model: Model):
+    """Answers all blocks' questions to one shard of the model."""
 
+    def join(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        shard, out = model.shard(rows[0]["shard"]), {c.split()[0]: [] for c in ANSWERS.split(", ")}
 
-def log_probabilities(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Natural log probability of every row of ``docs`` (doc_id, key, text) under the model of ``train`` (text).
+        def answer(keys: np.ndarray, kind: bool, defaults: tuple[float, ...]) -> list[bytes]:
+            known, *values = shard[kind]
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            found = []
+            for column, default in zip(values, defaults):
+                got = np.full(len(keys), default, np.float32)
+                got[hit] = column[at[hit]]
+                found.append(pack(got))
+            return found
 
-    Documents stay where they are read. A task gathers some of them and joins their distinct words and pairs with the
-    model's shards, one shard in memory at a time; the model's size is that of the training sample.
-    """
-    folder = new_folder(docs.sparkSession, "kneser-ney")
-    model = train_model(train, folder)
+        for r in rows:
+            words = answer(keys_of(r["word_keys"], r["words"]), False, (0.0, 1.0, model.floor))
+            pairs = answer(keys_of(r["pair_keys"], r["pairs"]), True, (0.0,))
+            for name, value in zip(out, (r["block"], r["shard"], *words, *pairs)):
+                out[name].append(value)
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), [pa.string(), pa.int32()] + [pa.binary()] * 4)], names=list(out))
 
-    def score(batches):
-        drop_kept()
-        group, ids = _Group(), []
+    return join
 
-        def flush():
-            lengths, log_prob = group.score(model)
-            out = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([i.column(0) for i in ids]), pa.concat_arrays([i.column(1) for i in ids]),
-                 pa.array(lengths), pa.array(log_prob)], names=["doc_id", "key", "n_tokens", "log_prob"])
-            return out
 
-        for batch in batches:
-            start, kept = 0, batch.select(["doc_id", "key"])
-            for at, text in enumerate(each_text(batch, "text")):
-                group.add(text)
-                if group.size >= TOKENS_AT_ONCE:
-                    ids.append(kept.slice(start, at + 1 - start))
-                    start = at + 1
-                    yield flush()
-                    group, ids = _Group(), []
-            if start < batch.num_rows:
-                ids.append(kept.slice(start))
-        if group.size:
-            yield flush()
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("key").cast("bigint").alias("key"),
-                       F.col("text").cast("string").alias("text"))
-    result = written(rows.mapInArrow(score, LOG), new_folder(docs.sparkSession, "log-probabilities"))
-    remove(docs.sparkSession, folder)
-    return result
+def log_probabilities(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """Natural log probability of every row of ``docs`` (doc_id, key, text) under the model of ``train`` (text)."""
+    spark = docs.sparkSession
+    folder, target = new_folder(spark, "kneser-ney"), new_folder(spark, "log-probabilities")
+    with shuffle_files_removed(spark):
+        model = train_model(train, folder)
+        shards = model.shards
+
+        def read(block: Block, found: list[dict]) -> dict:
+            def at(name, keys):
+                return placed(keys, shards, {r["shard"]: r[name] for r in found}, np.float32).astype(np.float64)
+
+            codes, place, follows = block.pairs()
+            context, gamma, lower = (at(name, block.hashes) for name in ("context", "gamma", "lower"))
+            seen = at("pairs", block.pair_keys(codes))
+            p = lower[block.tokens]
+            before = block.tokens[follows - 1]
+            p[follows] = seen[place] / np.maximum(context[before], 1.0) + gamma[before] * p[follows]
+            return {"doc_id": block.rows.column("doc_id"), "key": block.rows.column("key"),
+                    "n_tokens": block.lengths, "log_prob": block.per_document(np.log(p))}
+
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("key").cast("bigint").alias("key"),
+                           F.col("text").cast("string").alias("text"))
+        for part in range(SLICES):
+            own = f"{folder}/part-{part}"
+            some = rows.where(F.pmod("key", F.lit(SLICES)) == part)
+            blocks = written(token_blocks(some, ["doc_id", "key"], tokens_per_block=BLOCK_TOKENS), f"{own}/blocks")
+            asked = questions(blocks, shards).groupBy("shard")
+            answers = written(asked.applyInArrow(look_up(model), ANSWERS), f"{own}/answers")
+            answered(blocks, answers, read, LOG).write.parquet(f"{target}/part={part}")
+            remove(spark, own)
+    remove(spark, folder)
+    return spark.read.schema(LOG).parquet(*[f"{target}/part={part}" for part in range(SLICES)])
 
 
 def classify_quality(
-    docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, max_training_docs: int = 20_000,
+    docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, max_training_docs: int | None = None,
     pull: float = 20.0, min_reference: int = 20,
 ) -> DataFrame:
-    """One row per distinct (doc_id, lang, text): perplexity, the language's threshold, and whether it stays."""
+    """One row per distinct (doc_id, lang, text): perplexity, the language's threshold, and whether it stays.
+
+    The model counts every trusted document of its half, unless ``max_training_docs`` asks for fewer.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", row_key("doc_id", "lang", "text"))
     trusted = trusted_labels(labels)
-    # ids that documents do not hold neither fill the sample nor are reference
+    # ids that documents do not hold are neither trained on nor reference
     held = trusted.join(rows.select("doc_id"), "doc_id", "left_semi")
-    training = held.where("train").orderBy("hash", "doc_id").limit(max_training_docs).select("doc_id")
-    # written once, so that training and reference are told apart by the same ids; at most max_training_docs of
-    # them, so the texts are not shuffled for it
-    training = written(training, new_folder(docs.sparkSession, "training-ids"))
-    found = log_probabilities(rows, rows.join(F.broadcast(training), "doc_id", "left_semi").select("text"))
+    training = held.where("train")
+    if max_training_docs is not None:
+        training = training.orderBy("hash", "doc_id").limit(max_training_docs)
+    # written once, so that training and reference are told apart by the same ids
+    training = written(training.select("doc_id"), new_folder(docs.sparkSession, "training-ids"))
+    sent = F.broadcast(training) if training.count() <= MOST_SENT_IDS else training
+    found = log_probabilities(rows, rows.join(sent, "doc_id", "left_semi").select("text"))
     found = found.dropDuplicates(["doc_id", "key"])
     of_row = rows.select("key", "lang").dropDuplicates(["key"])
     scored = found.join(of_row, "key").withColumn("mean", -F.col("log_prob") / F.col("n_tokens"))
-    unseen = trusted.select("doc_id").join(F.broadcast(training), "doc_id", "left_anti")
+    unseen = trusted.select("doc_id").join(training, "doc_id", "left_anti")
     reference = scored.join(unseen, "doc_id", "left_semi")
     median = reference.groupBy("lang").agg(F.percentile_approx("mean", 0.5).alias("median"), F.count("*").alias("n"))
     overall = reference.agg(F.percentile_approx("mean", 0.5).alias("all_median"))

@@ -89,9 +89,9 @@ def _payload(rows: list[pa.RecordBatch], train, lengths, tokens, hashes) -> byte
         "hashes": np.array(hashes, np.uint64).tobytes()})
 
 
-def token_blocks(docs: DataFrame, keep: list[str], train: str | None = None) -> DataFrame:
+def token_blocks(docs: DataFrame, keep: list[str], train: str | None = None, tokens_per_block: int | None = None) -> DataFrame:
     """Blocks of ``docs`` (text, the columns ``keep``, the boolean column ``train``)."""
-    columns = [*keep, train] if train else keep
+    columns, full = [*keep, train] if train else keep, tokens_per_block or TOKENS_PER_BLOCK
 
     def blocks(batches) -> Iterator[pa.RecordBatch]:
         drop_kept()
@@ -126,7 +126,7 @@ def token_blocks(docs: DataFrame, keep: list[str], train: str | None = None) ->
                 trains.append(bool(flags[at]))
                 lengths.append(len(ids))
                 size += len(ids)
-                if size >= TOKENS_PER_BLOCK:
+                if size >= full:
                     rows.append(kept.slice(start, at + 1 - start))
                     start = at + 1
                     yield flush()
