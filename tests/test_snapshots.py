@@ -114,6 +114,20 @@ def test_a_small_batch_touches_a_small_part_of_the_fact(spark, tmp_path, book, m
     assert {i: r for i, r in after.items() if i != 7} == {i: r for i, r in before.items() if i != 7}
 
 
+def test_new_rows_alone_are_numbered_without_a_join(spark, warehouse, book, monkeypatch):  # noqa: F811
+    plans, number = [], jobs.assign_keys
+    monkeypatch.setattr(jobs, "assign_keys", lambda rows, key, *a, **k: (
+        plans.append((key, rows._jdf.queryExecution().optimizedPlan().toString())), number(rows, key, *a, **k))[1])
+    src = sources(spark)
+    load(spark, warehouse, book, orders(spark, (1, "2026-01-05", stamp(1)), (2, "2026-02-05", stamp(1))), src)
+    load(spark, warehouse, book, orders(spark, (3, "2026-01-06", stamp(2))), src)
+    facts = [plan for key, plan in plans if key == "order_key"]
+    assert len(facts) == 2 and not any("Join" in plan for plan in facts)
+    load(spark, warehouse, book, orders(spark, (1, "2026-01-07", stamp(3)), (4, "2026-01-07", stamp(3))), src)
+    assert sorted(r.order_id for r in jobs.read_fact(warehouse, "order").collect()) == [1, 2, 3, 4]
+    assert len({r.order_key for r in jobs.read_fact(warehouse, "order").collect()}) == 4
+
+
 def test_index_and_cells_are_packed_after_many_commits(spark, warehouse, book, monkeypatch):  # noqa: F811
     monkeypatch.setattr(jobs, "MOST_COMMITS", 2)
     src, fact = sources(spark), warehouse.table("fact_order")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from functools import reduce
 
 from uuid import uuid4
 
@@ -275,26 +276,46 @@ def merge_fact(warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datet
     if not ambiguous.isEmpty():
         raise RuntimeError(f"{pipeline} batch matches several versions of a dimension row")
 
-    fallback, key = warehouse.checkpoint_fallback(), fact.identifier
-    table = warehouse.table(fact.table)
-    base = table.manifest()
-    resolved = cut_lineage(
-        resolve_fact(staged, fact, dimensions, dates, methods).withColumns({
-            "event_month": F.floor(F.col(fact.partition_source) / 100).cast("int"),
-            "bucket": warehouse.bucket(key)}), fallback)
+    key, table = fact.identifier, warehouse.table(fact.table)
+    base, scratch = table.manifest(), warehouse.path("merging", f"{pipeline}-{uuid4().hex}")
+    try:
+        return _merge_resolved(warehouse, fact, batch_id, loaded_at, base, scratch, resolve_fact(
+            staged, fact, dimensions, dates, methods).withColumns({
+                "event_month": F.floor(F.col(fact.partition_source) / 100).cast("int"), "bucket": warehouse.bucket(key)}))
+    finally:
+        warehouse.delete(scratch)
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    """Evaluate once into columns below the warehouse, of which later steps read only those they need."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _merge_resolved(
+    warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datetime, base: Manifest, scratch: str, resolved: DataFrame,
+) -> int:
+    """Upsert the resolved batch; whole rows move once to be numbered and once to their partitions."""
+    key, table = fact.identifier, warehouse.table(fact.table)
+    matches = F.col(key) == F.col("_id")
+    resolved = _written(resolved, f"{scratch}/resolved")
     stored = _indexed(table, fact, resolved, base)
-    hits = cut_lineage(
+    hits = _written(
         fact_hits(stored, resolved, key, fact.key_columns(), [fact.key, "event_month"])
-        .withColumnRenamed(key, "_id").withColumnRenamed("event_month", "_old_month"), fallback)
+        .withColumnRenamed(key, "_id").withColumnRenamed("event_month", "_old_month"), f"{scratch}/hits")
     replaced = hits.filter("_overwrite").drop("_overwrite")
-    matches = F.col(key) == F.col("_id")
     updates = resolved.join(replaced, matches)
-    inserts = resolved.join(hits.select("_id"), matches, "left_anti")
-
+    # a batch of new rows alone, such as the first one, needs no join to tell them from updates
+    met = not hits.isEmpty()
+    inserts = resolved.join(hits.select("_id"), matches, "left_anti") if met else resolved
+
+    one, none = F.lit(1), F.lit(0)
+    parts = [inserts.select("event_month", "bucket", none.alias("lost"), one.alias("n"), one.alias("fresh"))]
+    if met:
+        parts += [updates.select(F.col("_old_month").alias("event_month"), "bucket", one.alias("lost"), none.alias("n"), none.alias("fresh")),
+                  updates.select("event_month", "bucket", none.alias("lost"), one.alias("n"), none.alias("fresh"))]
     sizes = (
-        updates.select(F.col("_old_month").alias("event_month"), "bucket", F.lit(1).alias("lost"), F.lit(0).alias("n"), F.lit(0).alias("fresh"))
-        .unionByName(updates.select("event_month", "bucket", F.lit(0).alias("lost"), F.lit(1).alias("n"), F.lit(0).alias("fresh")))
-        .unionByName(inserts.select("event_month", "bucket", F.lit(0).alias("lost"), F.lit(1).alias("n"), F.lit(1).alias("fresh")))
+        reduce(DataFrame.unionByName, parts)
         .groupBy("event_month", "bucket")
         .agg(F.sum("lost").alias("lost"), F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))
         .collect()
@@ -306,22 +327,27 @@ def merge_fact(warehouse: Warehouse, fact: Fact, batch_id: str, loaded_at: datet
     rewritten = frozenset(c for c, r in cells.items() if r.lost) | full
     last = warehouse.reserve_keys(fact.table, sum(r.fresh for r in sizes))
     numbered = assign_keys(inserts, fact.key, [key], after=last)
-    loaded = cut_lineage(
-        updates.drop("_id", "_old_month").unionByName(numbered).withColumn("loaded_at", _moment(loaded_at)), fallback)
-    kept = table.read("rows", contracts.fact_schema(fact), rewritten, base).join(replaced.select("_id"), matches, "left_anti")
+    loaded = numbered if not met else updates.drop("_id", "_old_month").unionByName(numbered)
+    loaded = _written(loaded.withColumn("loaded_at", _moment(loaded_at)), f"{scratch}/loaded")
+    rows = loaded.select(*contracts.fact_columns(fact), "event_month", "bucket")
+    if rewritten:
+        kept = table.read("rows", contracts.fact_schema(fact), rewritten, base).join(replaced.select("_id"), matches, "left_anti")
+        rows = kept.unionByName(loaded.select(*kept.columns))
 
     entries = loaded.select(*contracts.index_columns(fact), "event_month", F.lit(base.version + 1).cast("long").alias("revision"), "bucket")
     buckets = {f"bucket={r.bucket}" for r in sizes}
     crowded = frozenset(c for c in buckets if len(base.cells("index").get(c, ())) >= MOST_COMMITS)
-    old = table.read("index", contracts.index_schema(fact), crowded, base)
-    newer = loaded.select(F.col(key).alias("_id"))
-    payload = [c for c in old.columns if c not in (key, "revision", "bucket")]
-    packed = (old.join(newer, matches, "left_anti").groupBy(key, "bucket")
-              .agg(F.max_by(F.struct(*payload), "revision").alias("_entry"), F.max("revision").alias("revision"))
-              .select(key, "_entry.*", "revision", "bucket"))
+    if crowded:
+        old = table.read("index", contracts.index_schema(fact), crowded, base)
+        newer = loaded.select(F.col(key).alias("_id"))
+        payload = [c for c in old.columns if c not in (key, "revision", "bucket")]
+        packed = (old.join(newer, matches, "left_anti").groupBy(key, "bucket")
+                  .agg(F.max_by(F.struct(*payload), "revision").alias("_entry"), F.max("revision").alias("revision"))
+                  .select(key, "_entry.*", "revision", "bucket"))
+        entries = packed.unionByName(entries)
     table.commit(base, {
-        "rows": Change(kept.unionByName(loaded.select(*kept.columns)), ["event_month", "bucket"], replaced=rewritten),
-        "index": Change(packed.unionByName(entries), ["bucket"], replaced=crowded, seen=frozenset(buckets), sort=[key],
+        "rows": Change(rows, ["event_month", "bucket"], replaced=rewritten),
+        "index": Change(entries, ["bucket"], replaced=crowded, seen=frozenset(buckets), sort=[key],
                         options={f"parquet.bloom.filter.enabled#{key}": "true"}),
     })
     return sum(r.n for r in sizes)
